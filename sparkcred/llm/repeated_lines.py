@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,71 +35,87 @@ def line_ids(news: DataFrame) -> DataFrame:
 
 def frequent_lines(docs: DataFrame, least: int = LEAST_RECORDS) -> DataFrame:
     """(media, line, records) of lines in at least ``least`` records; counts combine before the shuffle."""
-    seen = docs.select("id", "media", F.explode(F.array_distinct(F.filter("ids", lambda x: x.isNotNull()))).alias("line"))
+    seen = docs.select("doc", "media", F.explode(F.array_distinct(F.filter("ids", lambda x: x.isNotNull()))).alias("line"))
     return seen.groupBy("media", "line").agg(F.count("*").alias("records")).filter(F.col("records") >= least)
 
 
 def _suffixes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Suffixes of each record over runs of adjacent frequent lines; first1 and first2 count a record once."""
     for pdf in parts:
         out = []
         for media, at, line in zip(pdf["media"], pdf["at"], pdf["lines"]):
-            at, line = list(at), list(line)
+            at, line, seen = list(at), list(line), set()
             for i in range(len(at)):
                 j = i + 1
                 while j < len(at) and j - i < BLOCK_LINES and at[j] == at[j - 1] + 1:
                     j += 1
-                out.append((media, line[i], line[i:j]))
-        yield pd.DataFrame(out, columns=["media", "first", "suffix"])
-
-
-def _blocks(least: int):
-    """Sorted suffixes of one bucket (whole first lines) -> maximal repeated blocks by common prefixes."""
-
+                one, two = line[i], tuple(line[i : min(j, i + 2)])
+                out.append((media, one, line[i:j], int(one not in seen), int(len(two) > 1 and two not in seen)))
+                seen.update((one, two))
+        yield pd.DataFrame(out, columns=["media", "first", "suffix", "first1", "first2"])
+
+
+def lcp_intervals(rows: list[tuple[tuple, int]], least: int) -> list[tuple[tuple, int]]:
+    """Repeated prefixes of sorted, counted suffixes: each interval of common prefixes with its count, if that reaches ``least``."""
+    total = [0]
+    for _, n in rows:
+        total.append(total[-1] + n)
+    out: list[tuple[tuple, int]] = []
+
+    def report(depth: int, left: int, right: int) -> None:
+        if depth and total[right + 1] - total[left] >= least:
+            out.append((rows[left][0][:depth], total[right + 1] - total[left]))
+
+    stack: list[tuple[int, int]] = []
+    for i in range(len(rows)):
+        here = rows[i][0]
+        after = rows[i + 1][0] if i + 1 < len(rows) else ()
+        lcp = 0
+        while lcp < min(len(here), len(after)) and here[lcp] == after[lcp]:
+            lcp += 1
+        if lcp < len(here):
+            report(len(here), i, i)
+        left = i
+        while stack and stack[-1][0] > lcp:
+            depth, left = stack.pop()
+            report(depth, left, i)
+        if lcp and (not stack or stack[-1][0] < lcp):
+            stack.append((lcp, left))
+    return out
+
+
+def _longer_blocks(least: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (media, first), g in pdf.groupby(["media", "first"], sort=False):
-            rows = sorted(zip(map(tuple, g["suffix"]), g["n"].tolist()))
-            # LCP intervals: a stack of open prefixes with the records they span
-            stack: list[list] = []
-            before: tuple = ()
-            for suffix, n in [*rows, ((), 0)]:
-                lcp = 0
-                while lcp < min(len(before), len(suffix)) and before[lcp] == suffix[lcp]:
-                    lcp += 1
-                carry = 0
-                while stack and stack[-1][0] > lcp:
-                    depth, count = stack.pop()
-                    count += carry
-                    carry = count
-                    if count >= least:
-                        out.append((media, list(before[:depth]), count))
-                if stack and stack[-1][0] == lcp:
-                    stack[-1][1] += carry
-                elif carry and lcp:
-                    stack.append([lcp, carry])
-                if suffix:
-                    if stack and stack[-1][0] == len(suffix):
-                        stack[-1][1] += n
-                    else:
-                        stack.append([len(suffix), n])
-                before = suffix
+        for (media, _), g in pdf.groupby(["media", "first"], sort=False):
+            rows = sorted(zip(map(tuple, g["suffix"]), g["n2"].tolist()))
+            out += [(media, list(block), n) for block, n in lcp_intervals(rows, least) if len(block) > 1]
         return pd.DataFrame(out, columns=["media", "block", "records"])
 
     return run
 
 
-def repeated_blocks(news: DataFrame, least: int = LEAST_RECORDS, docs: DataFrame | None = None) -> DataFrame:
-    """(media, block, records): repeated blocks of lines of one media, from its suffix array.
+def blocks_of(kept: DataFrame, least: int) -> DataFrame:
+    """(media, block, records): the repeated blocks in the suffix array of each media's frequent lines.
 
-    Equal suffixes are counted before they are sorted, and a bucket holds the suffixes that start with
-    the same line, so a line in a third of all records is one bucket of few distinct suffixes.
+    Equal suffixes are counted before they are ordered. The intervals of one common line are counted
+    with a map-side combine, so a line in a third of all records is no hot bucket; longer intervals are
+    found by sorting the suffixes that share their first two lines.
     """
-    docs = line_ids(news) if docs is None else docs
-    suffixes = _kept(docs, least).select("media", "at", "lines").mapInPandas(_suffixes, "media string, first long, suffix array<long>")
-    counted = suffixes.groupBy("media", "first", "suffix").agg(F.count("*").alias("n"))
-    # the first two lines make the bucket; blocks of one line are found by frequent_lines already
-    bucket = F.pmod(F.xxhash64("media", "first", F.get("suffix", F.lit(1))), F.lit(4096))
-    return counted.filter(F.size("suffix") > 1).withColumn("bucket", bucket).groupBy("bucket").applyInPandas(_blocks(least), "media string, block array<long>, records long").filter(F.size("block") > 1)
+    suffixes = kept.select("media", "at", "lines").mapInPandas(_suffixes, "media string, first long, suffix array<long>, first1 int, first2 int")
+    counted = suffixes.groupBy("media", "first", "suffix").agg(F.sum("first1").alias("n1"), F.sum("first2").alias("n2"))
+    one = counted.groupBy("media", "first").agg(F.sum("n1").alias("records")).filter(F.col("records") >= least)
+    bucket = F.pmod(F.xxhash64("media", "first", F.get("suffix", F.lit(1))), F.lit(1024))
+    longer = (
+        counted.filter(F.size("suffix") > 1).withColumn("bucket", bucket).select("bucket", "media", "first", "suffix", "n2")
+        .groupBy("bucket").applyInPandas(_longer_blocks(least), "media string, block array<long>, records long")
+    )
+    return one.select("media", F.array("first").alias("block"), "records").unionByName(longer)
+
+
+def repeated_blocks(news: DataFrame, least: int = LEAST_RECORDS) -> DataFrame:
+    """(media, block, records): blocks of line identifiers repeated in at least ``least`` records of a media."""
+    return blocks_of(_kept(line_ids(news), least), least)
 
 
 def _kept(docs: DataFrame, least: int) -> DataFrame:
@@ -111,17 +126,20 @@ def _kept(docs: DataFrame, least: int) -> DataFrame:
     return hit.groupBy("doc", "id", "media").agg(pairs.alias("p")).select("doc", "id", "media", F.col("p.at").alias("at"), F.col("p.line").alias("lines"))
 
 
+def _covered(kept: DataFrame, least: int) -> DataFrame:
+    """(doc, id, at): positions covered by a repeated block."""
+    lines = blocks_of(kept, least).select("media", F.explode("block").alias("line")).distinct()
+    at = kept.select("doc", "id", "media", F.explode(F.arrays_zip("at", "lines")).alias("p")).select("doc", "id", "media", F.col("p.at").alias("at"), F.col("p.lines").alias("line"))
+    return at.join(lines, ["media", "line"], "left_semi").select("doc", "id", "at")
+
+
 def repeated_lines(news: DataFrame, least: int = LEAST_RECORDS) -> DataFrame:
-    """(id, line_no, block_lines): lines whose text occurs in at least ``least`` records of their media.
+    """(id, line_no): lines that stand in a block repeated in at least ``least`` records of their media.
 
-    Every suffix in the suffix array of a media starts a block of at least one line with the suffixes
-    around it; ``block_lines`` is the length of the run of such lines the line stands in. Records with
-    null or blank media or null content, and lines without letters, give no rows.
+    A block may be a single line. Records with null or blank media or null content, and lines without
+    letters, give no rows; repeated rows are records of their own.
     """
-    kept = _kept(line_ids(news), least)
-    run = F.expr("transform(at, (x, i) -> x - i)")
-    rows = kept.select("id", F.explode(F.arrays_zip(F.col("at"), run.alias("run"))).alias("p"), run.alias("runs"))
-    return rows.select("id", (F.col("p.at") + 1).cast("int").alias("line_no"), F.size(F.filter("runs", lambda r: r == F.col("p.run"))).alias("block_lines"))
+    return _covered(cut(_kept(line_ids(news), least)), least).select("id", (F.col("at") + 1).cast("int").alias("line_no"))
 
 
 def without_repeated(news: DataFrame, least: int = LEAST_RECORDS) -> DataFrame:
@@ -133,10 +151,10 @@ def without_repeated(news: DataFrame, least: int = LEAST_RECORDS) -> DataFrame:
     letters = lambda x: F.lower(F.upper(F.regexp_replace(x, r"[^\p{L}]+", "")))
     ids = F.transform(F.split("content", "\n", -1), lambda x: F.when(letters(x) != "", F.xxhash64(letters(x))))
     docs = news.filter(F.col("content").isNotNull() & (F.trim("media") != "")).select("doc", "id", F.trim("media").alias("media"), ids.alias("ids"))
-    kept = _kept(docs, least).select("doc", "at")
+    kept = _covered(cut(_kept(docs, least)), least).groupBy("doc").agg(F.collect_list("at").alias("at"))
     lines = F.split("content", "\n", -1)
     return news.join(kept, "doc", "left").select(
         "id",
-        F.when(F.col("at").isNull(), F.col("content")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("at", i)), "\n")).alias("content"),
+        F.when(F.col("at").isNull(), F.col("content")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("at", i.cast("int"))), "\n")).alias("content"),
         F.coalesce(F.size("at"), F.lit(0)).alias("n_removed"),
     )
