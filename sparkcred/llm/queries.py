@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkcred.llm import boilerplate, repeated_lines
+from sparkcred.llm import boilerplate, language, near_duplicates, repeated_lines
 from sparkcred.session import table
 
 
@@ -10,8 +10,16 @@ def _news(spark, d):
     return table(spark, d, "realtime_news")
 
 
+def _documents(spark, d):
+    return table(spark, d, "documents")
+
+
 def queries():
     return {
+        "p1_found": lambda s, d: language.language_cases(_news(s, d), _documents(s, d)),
+        "p1_languages": lambda s, d: language.languages(_news(s, d), _documents(s, d)),
+        "p3_found": lambda s, d: near_duplicates.near_pairs(_news(s, d)),
+        "p3_groups": lambda s, d: near_duplicates.near_groups(_news(s, d)),
         "p5_found": lambda s, d: repeated_lines.repeated_lines(_news(s, d)),
         "p5_clean": lambda s, d: repeated_lines.without_repeated(_news(s, d)),
         "p6_found": lambda s, d: boilerplate.boilerplate_lines(_news(s, d)),
