@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkcred.llm import boilerplate, language, near_duplicates, repeated_lines
+from sparkcred.llm import boilerplate, language, near_duplicates, repeated_lines, truncation
 from sparkcred.session import table
 
 
@@ -18,6 +18,8 @@ def queries():
     return {
         "p1_found": lambda s, d: language.language_cases(_news(s, d), _documents(s, d)),
         "p1_languages": lambda s, d: language.languages(_news(s, d), _documents(s, d)),
+        "p2_found": lambda s, d: truncation.truncated(_news(s, d)),
+        "p2_shares": lambda s, d: truncation.shares(_news(s, d)),
         "p3_found": lambda s, d: near_duplicates.near_pairs(_news(s, d)),
         "p3_groups": lambda s, d: near_duplicates.near_groups(_news(s, d)),
         "p5_found": lambda s, d: repeated_lines.repeated_lines(_news(s, d)),
