@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkcred.llm import boilerplate, language, near_duplicates, repeated_lines, truncation
+from sparkcred.llm import boilerplate, language, leakage, mixing, near_duplicates, repeated_lines, splitting, truncation
 from sparkcred.session import table
 
 
@@ -27,6 +27,13 @@ def queries():
         "p6_found": lambda s, d: boilerplate.boilerplate_lines(_news(s, d)),
         "p6_body": lambda s, d: boilerplate.bodies(_news(s, d)),
         "p6_templates": lambda s, d: boilerplate.templates(_news(s, d)),
+        "p7_found": lambda s, d: leakage.leaked_pairs(_documents(s, d), table(s, d, "eval_items")),
+        "p7_spans": lambda s, d: leakage.leaks(_documents(s, d), table(s, d, "eval_items")),
+        "p7_clean": lambda s, d: leakage.without_leaks(_documents(s, d), table(s, d, "eval_items")),
+        "p8_mix": lambda s, d: mixing.selection(_documents(s, d), table(s, d, "mix_targets")),
+        "p8_shares": lambda s, d: mixing.report(_documents(s, d), table(s, d, "mix_targets")),
+        "p9_found": lambda s, d: splitting.oversized(_documents(s, d), table(s, d, "split_limits")),
+        "p9_pieces": lambda s, d: splitting.pieces(_documents(s, d), table(s, d, "split_limits")),
     }
 
 
