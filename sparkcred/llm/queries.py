@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkcred.llm import boilerplate, language, leakage, mixing, near_duplicates, repeated_lines, splitting, truncation
+from sparkcred.llm import boilerplate, language, leakage, mixing, near_duplicates, new_batches, repeated_lines, splitting, truncation
 from sparkcred.session import table
 
 
@@ -22,6 +22,8 @@ def queries():
         "p2_shares": lambda s, d: truncation.shares(_news(s, d)),
         "p3_found": lambda s, d: near_duplicates.near_pairs(_news(s, d)),
         "p3_groups": lambda s, d: near_duplicates.near_groups(_news(s, d)),
+        "p4_found": lambda s, d: new_batches.known_articles(_news(s, d)),
+        "p4_articles": lambda s, d: new_batches.article_ids(_news(s, d)),
         "p5_found": lambda s, d: repeated_lines.repeated_lines(_news(s, d)),
         "p5_clean": lambda s, d: repeated_lines.without_repeated(_news(s, d)),
         "p6_found": lambda s, d: boilerplate.boilerplate_lines(_news(s, d)),
