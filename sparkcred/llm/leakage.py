@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import unicodedata
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -158,14 +157,18 @@ def _read_block(ids: list[int], texts: list[str], share: float):
                 found = auto.matches(text)
                 if not found:
                     continue
-                cover: dict[int, int] = defaultdict(int)
+                # characters of each item in one run of matches with no gap longer than a word
+                open_at: dict[int, int] = {}
+                run_size: dict[int, int] = {}
+                per: dict[int, int] = {}
                 for a, b, items in found:
-                    cover[items] += b - a
-                per: dict[int, int] = defaultdict(int)
-                for items, n in cover.items():
                     while items:
                         low = items & -items
-                        per[low.bit_length() - 1] += n
+                        k = low.bit_length() - 1
+                        n = run_size.get(k, 0) + b - a if a - open_at.get(k, -(1 << 40)) <= WORD_CHARS else b - a
+                        open_at[k], run_size[k] = b, n
+                        if n > per.get(k, 0):
+                            per[k] = n
                         items ^= low
                 places = None
                 for k, n in per.items():
