@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkcred.llm.tokenizer import FOLDER, sizer
-from sparkcred.session import cut
+from sparkcred.session import cut, maybe_broadcast
 
 #: Steps of the cumulated key distribution; only the step in which a budget ends is sorted.
 STEPS = 4096
@@ -60,30 +60,46 @@ def budgets(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     return both.withColumn("budget", budget).withColumn("reach", reach).withColumn("epochs", epochs).withColumn("rest", F.col("reach") - F.col("epochs") * F.col("available")).drop("total", "reach")
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 42, folder: str = FOLDER) -> tuple[DataFrame, DataFrame]:
+def _fill(rows: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(row, source, tokens) of the records that come first by key and together stay within their source's gap.
+
+    Token sums of key steps are cumulated first; only the step in which a gap ends is sorted.
+    """
+    fits = rows.join(gaps, "source").filter(F.col("tokens") <= F.col("gap"))
+    sums = fits.groupBy("source", "step").agg(F.sum("tokens").alias("t"), F.first("gap").alias("gap"))
+    upto = F.sum("t").over(Window.partitionBy("source").orderBy("step"))
+    over = sums.withColumn("upto", upto).filter("upto > gap").groupBy("source").agg(F.min(F.struct("step", (F.col("upto") - F.col("t")).alias("before"))).alias("at"))
+    fits = fits.join(over, "source", "left")
+    whole = fits.filter("at is null or step < at.step")
+    inside = F.sum("tokens").over(Window.partitionBy("source").orderBy("sort_key", "doc_id", "row"))
+    edge = fits.filter("step = at.step").withColumn("upto", F.col("at.before") + inside).filter("upto <= gap")
+    return whole.select("row", "source", "tokens").unionByName(edge.select("row", "source", "tokens"))
+
+
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 42, folder: str = FOLDER, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
     """(selection, plan): (doc_id, source, tokens, uses) of the records used, and the budgets.
 
-    ``total_tokens`` defaults to the tokens of all documents. Null or empty texts have no size and are
-    never used; sources that are not listed have target 0; listed sources without documents fall short.
+    ``total_tokens`` defaults to the tokens of all documents. Where the next record by key is larger than
+    what is left of a budget, further rounds fill the gap with the next records that fit. Null or empty
+    texts have no size and are never used; sources that are not listed have target 0; listed sources
+    without documents, and those whose repeats are used up, fall short.
     """
-    docs = cut(sized(documents, seed, folder))
-    plan = cut(budgets(docs, targets, total_tokens))
+    docs = sized(documents, seed, folder).withColumn("row", F.monotonically_increasing_id())
     step = F.least(F.floor((1 - F.exp(-F.col("sort_key"))) * STEPS), F.lit(STEPS - 1)).cast("int")
-    docs = docs.withColumn("step", step)
-    sums = docs.groupBy("source", "step").agg(F.sum("tokens").alias("t"))
-    before = F.sum("t").over(Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
-    ends = sums.withColumn("before", F.coalesce(before, F.lit(0))).join(plan.select("source", "rest"), "source")
-    # the step in which the rest of the budget runs out
-    last = ends.filter("rest > 0 and before < rest").groupBy("source").agg(F.max("step").alias("last"), F.max_by("before", "step").alias("before"))
-    small = F.broadcast if plan.count() <= 100_000 else (lambda x: x)
-    rows = docs.join(small(plan.select("source", "epochs", "rest")), "source").join(small(last), "source", "left")
-    whole = rows.filter("last is null or step <> last").withColumn("more", F.coalesce((F.col("step") < F.col("last")).cast("int"), F.lit(0)))
-    inside = F.sum("tokens").over(Window.partitionBy("source").orderBy("sort_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    edge = rows.filter("step = last").withColumn("sofar", F.col("before") + F.coalesce(inside, F.lit(0)))
-    # the record in which the budget ends is used if that leaves less of a gap
-    edge = edge.withColumn("more", (F.col("sofar") + F.col("tokens") / 2 <= F.col("rest")).cast("int"))
-    cols = ["doc_id", "source", "tokens", (F.col("epochs") + F.col("more")).alias("uses")]
-    return whole.select(*cols).unionByName(edge.select(*cols)).filter("uses > 0"), plan
+    docs = cut(docs.withColumn("step", step))
+    plan = cut(budgets(docs, targets, total_tokens))
+    gaps = plan.filter("rest > 0").select("source", F.col("rest").alias("gap"))
+    chosen, left = None, docs
+    for _ in range(rounds):
+        new = cut(_fill(left, maybe_broadcast(gaps, plan.count(), 100_000)))
+        chosen = new if chosen is None else chosen.unionByName(new)
+        used = new.groupBy("source").agg(F.sum("tokens").alias("u"))
+        gaps = cut(gaps.join(used, "source", "left").select("source", (F.col("gap") - F.coalesce("u", F.lit(0))).alias("gap")).filter("gap > 0"))
+        left = left.join(new.select("row"), "row", "left_anti")
+    more = chosen.select("row", F.lit(1).alias("more"))
+    rows = docs.join(maybe_broadcast(plan.select("source", "epochs"), plan.count(), 100_000), "source").join(more, "row", "left")
+    uses = (F.col("epochs") + F.coalesce("more", F.lit(0))).alias("uses")
+    return rows.select("doc_id", "source", "tokens", uses).filter("uses > 0"), plan
 
 
 def selection(documents: DataFrame, targets: DataFrame, **more) -> DataFrame:
