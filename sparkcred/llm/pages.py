@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcred.session import cut
+from sparkcred.session import cut, maybe_broadcast
 
 BUCKETS = 1 << 18
 #: A line is constant if it has at least this many different pages and this share of its host's pages.
@@ -270,6 +270,8 @@ def pages_of(news: DataFrame, *more: str) -> DataFrame:
     host, media = site_of("url", "media"), F.lower(F.trim("media"))
     known = news.select(media.alias("_m"), url_host("url").alias("_h")).filter("_m is not null and _m not in ('', 'unknown') and _h != ''")
     usual = known.groupBy("_m", "_h").agg(F.count("*").alias("n")).groupBy("_m").agg(F.max_by("_h", F.struct("n", "_h")).alias("_h"))
+    usual = cut(usual)
+    usual = maybe_broadcast(usual, usual.count())
     base = news.select("id", host.alias("_host"), url_host("url").alias("_u"), media.alias("_m"), "content", *[c for c in more if c not in ("id", "content")])
     out = base.join(usual, "_m", "left")
     return out.select("id", F.when((F.col("_u") == "") & F.col("_h").isNotNull(), F.col("_h")).otherwise(F.col("_host")).alias("host"), "content", *[c for c in more if c not in ("id", "content")])
