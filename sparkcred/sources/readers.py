@@ -20,7 +20,7 @@ def _or_empty(spark: SparkSession, read, schema: str) -> DataFrame:
     try:
         return read()
     except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e.getErrorClass() or e):
+        if "PATH_NOT_FOUND" in str(e.getCondition() or e):
             return spark.createDataFrame([], schema)
         raise
 
@@ -86,7 +86,7 @@ def log_metric(spark: SparkSession, path: str, metric: str) -> DataFrame:
     """(file, value): the first ``metric: number`` line of each text log."""
     import re
 
-    lines = spark.read.option("wholetext", True).text(path).withColumn("file", F.col("_metadata.file_name"))
+    lines = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
     return lines.select("file", F.regexp_extract("value", rf"(?im)^\s*{re.escape(metric)}\s*:\s*([0-9.]+)", 1).try_cast("double").alias("value"))
 
 
