@@ -28,8 +28,9 @@ BUCKETS = 1 << 18
 #: A line is constant if it has at least this many different pages and this share of its host's pages.
 #: Lines that end like a sentence need more, since sentences of articles recur by chance.
 LEAST_PAGES, SHARE_OPEN, SHARE_SENTENCE = 8, 0.002, 0.022
-#: Share of a line's pages that must differ in their longest line; copies of one article fall below it.
-LEAST_VARIETY = 0.5
+#: Share of a line's pages that must differ in their anchor, and of the places that must be taken; copies of one
+#: article, edited or not, fall below one of them.
+LEAST_VARIETY, LEAST_SPOTS = 0.5, 0.2
 #: The word statistics are fitted on at most about this many pages (hash sample).
 FIT_PAGES = 60_000
 #: Beyond this many constant lines the shuffled path is taken instead of a broadcast.
@@ -117,30 +118,36 @@ def split_lines(content: str | None) -> list[str]:
 
 
 def _line_tokens(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(host, key, anchor, is_sentence) once per page; the anchor names the page by its longest line."""
+    """(host, key, anchor, sentence, spot) once per page and line token.
+
+    Two names of the page tell different articles apart: the anchor is its longest other line, the spot one
+    of 64 places for a min-hash of its three longest other lines. Copies of an article share at least one.
+    """
     memo = Memo(lambda s: (key_of(s), finished(s)))
     for pdf in parts:
-        hosts, keys, anchors, ends = [], [], [], []
+        hosts, keys, anchors, ends, spots = [], [], [], [], []
         for host, content in zip(pdf["host"], pdf["content"]):
             ls = [x for x in map(str.strip, split_lines(content)) if x]
             if len(ls) < 2:
                 continue
-            anchor = memo[max(ls, key=len)][0]
+            long = [memo[x][0] for x in sorted(ls, key=len)[:-5:-1]]
             for k, e in {memo[x] for x in ls}:
-                hosts.append(host), keys.append(k), anchors.append(anchor), ends.append(e)
-        yield pd.DataFrame({"host": hosts, "key": np.array(keys, "int64"), "anchor": np.array(anchors, "int64"), "sentence": np.array(ends, bool)})
+                others = [x for x in long if x != k] or [k]
+                hosts.append(host), keys.append(k), anchors.append(others[0]), ends.append(e)
+                spots.append(1 << ((min(x ^ k for x in others[:3]) ^ k) % 64))
+        yield pd.DataFrame({"host": pd.Series(hosts, dtype=object), "key": np.array(keys, "int64"), "anchor": np.array(anchors, "int64"), "sentence": np.array(ends, bool), "spot": np.array(spots, "uint64").view("int64")})
 
 
 def line_classes(pages: DataFrame) -> DataFrame:
-    """Occurrence vectors of the line tokens of each host: (host, key, sentence, pages, contexts, vector).
+    """Occurrence vectors of the line tokens of each host: (host, key, sentence, pages, contexts, spots, vector).
 
     ``vector`` is an additive fingerprint of the set of page contexts, so tokens with equal occurrence
     vectors share it. Both aggregations combine before the shuffle, so a frequent line is no hot key.
     """
-    toks = pages.select("host", "content").filter("content is not null").mapInPandas(_line_tokens, "host string, key long, anchor long, sentence boolean")
-    once = toks.groupBy("host", "key", "anchor", "sentence").agg(F.count("*").alias("n"))
+    toks = pages.select("host", "content").filter("content is not null").mapInPandas(_line_tokens, "host string, key long, anchor long, sentence boolean, spot long")
+    once = toks.groupBy("host", "key", "anchor", "sentence").agg(F.count("*").alias("n"), F.bit_or("spot").alias("spot"))
     return once.groupBy("host", "key", "sentence").agg(
-        F.sum("n").alias("pages"), F.count("*").alias("contexts"), F.sum(F.pmod(F.xxhash64("anchor"), F.lit(1 << 40))).alias("vector")
+        F.sum("n").alias("pages"), F.count("*").alias("contexts"), F.bit_count(F.bit_or("spot")).alias("spots"), F.sum(F.pmod(F.xxhash64("anchor"), F.lit(1 << 40))).alias("vector")
     )
 
 
@@ -152,7 +159,7 @@ def constant_lines(pages: DataFrame) -> DataFrame:
         line_classes(pages)
         .filter(F.col("contexts") >= LEAST_PAGES)
         .join(totals, "host")
-        .filter((F.col("contexts") >= share * F.col("host_pages")) & (F.col("contexts") >= LEAST_VARIETY * F.col("pages")))
+        .filter((F.col("contexts") >= share * F.col("host_pages")) & (F.col("contexts") >= LEAST_VARIETY * F.col("pages")) & (F.col("spots") >= LEAST_SPOTS * F.least("pages", F.lit(64))))
         .drop("host_pages")
     )
 
@@ -256,7 +263,8 @@ def word_odds(pages: DataFrame, model, rows: int) -> np.ndarray:
     got = counts.groupBy("bucket").agg(F.sum("body").alias("body"), F.sum("site").alias("site")).toPandas()
     body, site = np.zeros(BUCKETS), np.zeros(BUCKETS)
     body[got["bucket"]], site[got["bucket"]] = got["body"], got["site"]
-    pb, ps = (body + 0.5) / (body.sum() + 1), (site + 0.5) / (site.sum() + 1)
+    kinds = max(1, len(got))
+    pb, ps = (body + 0.5) / (body.sum() + 0.5 * kinds), (site + 0.5) / (site.sum() + 0.5 * kinds)
     odds = np.clip(np.log(ps / pb), -3, 3)
     odds[body + site < 5] = 0
     return odds.astype("float32")
