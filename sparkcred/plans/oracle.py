@@ -169,6 +169,8 @@ SELECT id, row_number() OVER (ORDER BY CASE WHEN mi IS NULL THEN 0 ELSE 1 END DE
     "date_extract": r"SELECT id, CASE WHEN regexp_extract(coalesce(pub_time, ''), '(\d{4}[.-]\d{2}[.-]\d{2})', 1) = '' THEN '2024-01-01' ELSE replace(regexp_extract(pub_time, '(\d{4}[.-]\d{2}[.-]\d{2})', 1), '.', '-') END AS day FROM realtime_news",
     "allowed_hosts": r"SELECT id FROM realtime_news WHERE regexp_matches(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z]+://([^/?#:]+)', 1)), '^(.*\.)?neoulmok\.example$')",
     "html_listing": "WITH k AS (SELECT id // 20 AS page, id, trim(title) AS title, trim(url) AS url, trim(coalesce(media, '')) AS m FROM realtime_news), r AS (SELECT *, trim(html_title) AS t FROM (SELECT *, title AS html_title FROM k)) SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY id) AS INTEGER) AS pos, t AS title, url, m AS press FROM r WHERE coalesce(t, '') <> '' AND coalesce(url, '') <> ''",
+    "html_body": f"SELECT doc_id, md5(regexp_replace(coalesce(text, ''), {q(f'^{WS}|{WS}$')}, '', 'g')) AS body_key FROM documents",
+    "html_links": "SELECT 2 AS n, count(*) AS pages FROM realtime_news WHERE url LIKE 'http%'",
     "csv_roundtrip": "SELECT id, md5(coalesce(content, '')) AS content_key, coalesce(CAST(label AS INTEGER), -1) AS label FROM articles",
     "embedding_blocks": "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) SELECT vec_id, label, len(v) AS dims, round(list_sum(v) / sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS unit_sum FROM v",
     "stream_score_dedup": "SELECT DISTINCT url FROM realtime_news WHERE url IS NOT NULL",
