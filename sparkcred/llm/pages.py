@@ -31,8 +31,6 @@ LEAST_PAGES, SHARE_OPEN, SHARE_SENTENCE = 8, 0.002, 0.022
 #: Share of a line's pages that must differ in their anchor, and of the places that must be taken; copies of one
 #: article, edited or not, fall below one of them.
 LEAST_VARIETY, LEAST_SPOTS = 0.5, 0.2
-#: The word statistics are fitted on at most about this many pages (hash sample).
-FIT_PAGES = 60_000
 #: Beyond this many constant lines the shuffled path is taken instead of a broadcast.
 MOST_KEYS = 2_000_000
 
@@ -255,10 +253,11 @@ def _region_counts(model):
     return run
 
 
-def word_odds(pages: DataFrame, model, rows: int) -> np.ndarray:
-    """Log odds that a word token belongs to a slot of the page rather than to the article (2**18 buckets)."""
-    if rows > FIT_PAGES:
-        pages = pages.filter(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(rows)) < FIT_PAGES)
+def word_odds(pages: DataFrame, model) -> np.ndarray:
+    """Log odds that a word token belongs to a slot of the page rather than to the article (2**18 buckets).
+
+    Counted on all pages: a task hands on at most one row a bucket, whatever the corpus.
+    """
     counts = pages.select("host", "content").filter("content is not null").mapInPandas(_region_counts(model), "bucket int, body long, site long")
     got = counts.groupBy("bucket").agg(F.sum("body").alias("body"), F.sum("site").alias("site")).toPandas()
     body, site = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -292,7 +291,7 @@ class Marker:
         spark = pages.sparkSession
         self.constants = cut(constant_lines(pages))
         shared = self.constants.groupBy("key").agg(F.count("*").alias("hosts")).filter("hosts >= 3")
-        n_keys, n_rows = self.constants.count(), pages.filter("content is not null").count()
+        n_keys = self.constants.count()
         n_shared = shared.count()
         self.wide = n_keys > most_keys
         some = lambda df, c: df.select(c).toPandas()[c].to_numpy("int64")
@@ -304,7 +303,7 @@ class Marker:
             keys = np.sort(np.array([site_key(h, k) for h, k in zip(got["host"], got["key"])], "uint64"))
         first = Model(keys, np.sort(shared_keys))
         fit = spark.sparkContext.broadcast(first)
-        self.model = spark.sparkContext.broadcast(Model(keys, np.sort(shared_keys), word_odds(pages, fit, n_rows)))
+        self.model = spark.sparkContext.broadcast(Model(keys, np.sort(shared_keys), word_odds(pages, fit)))
 
     def _known(self, pages: DataFrame) -> DataFrame:
         """Shuffled path: positions of constant lines found by a join, without any broadcast."""

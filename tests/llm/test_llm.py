@@ -405,3 +405,11 @@ def test_oversized(spark):
 
 def test_same_mask():
     assert pages.mask(" ▶ Share  this (12,345)") == pages.mask("share this (9)") and pages.key_of("ab") != pages.key_of("ac")
+
+
+def test_word_odds_count_every_page(spark, monkeypatch):
+    monkeypatch.setattr(pages, "FIT_PAGES", 5, raising=False)
+    rng = random.Random(21)
+    rows = [(i, {"url": f"https://a.example/{i}", "content": ("Zyx qwv jkp\n" if i % 6 == 0 else "") + body(rng, 4)}) for i in range(40)]
+    odds = pages.Marker(pages.pages_of(news(spark, rows))).model.value.odds
+    assert all(odds[b] > 0 for b in pages.buckets("Zyx qwv jkp"))
