@@ -1,7 +1,7 @@
 """Problem 7: evaluation texts leaking into training text.
 
 A generalised suffix automaton of the normalised items reads every document character by character and
-gives the longest match with any item at each position. Maximal matches of an item that go on along one
+gives, along its suffix links, the longest match with each item at each position. Maximal matches of an item that go on along one
 diagonal, with no more than a word between two of them, form a stretch; an item has leaked if a stretch
 holds the required share of its text.
 """
@@ -50,6 +50,7 @@ class Automaton:
         for s in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
             self.items[self.link[s]] |= self.items[s]
         self.items[0] = 0
+        self.levels: dict[int, list[int]] = {}
 
     def _new(self, length: int) -> int:
         self.next.append({}), self.link.append(0), self.length.append(length), self.items.append(0)
@@ -101,6 +102,54 @@ class Automaton:
             out.append((len(text) - n, len(text), self.items[s]))
         return out
 
+    def _levels(self, least: int) -> list[int]:
+        """For each state the nearest state along its suffix links that more items hold, 0 below ``least``."""
+        up = [0] * len(self.length)
+        for s in sorted(range(1, len(self.length)), key=self.length.__getitem__):
+            p = self.link[s]
+            if self.length[p] >= least:
+                up[s] = p if self.items[p] != self.items[s] else up[p]
+        return up
+
+    def item_matches(self, text: str, least: int = LEAST_MATCH) -> list[tuple[int, int, int]]:
+        """(start, end, items) of the maximal matches of each item by itself.
+
+        An item whose match ends is reported there, though another item goes on; so is one that holds only
+        a suffix of what another item holds.
+        """
+        nxt, link, length, items = self.next, self.link, self.length, self.items
+        if least not in self.levels:
+            self.levels[least] = self._levels(least)
+        up = self.levels[least]
+        out, s, n = [], 0, 0
+        for i, c in enumerate(text):
+            t = nxt[s].get(c)
+            if n >= least and (t is None or items[t] != items[s] or up[s]):
+                u, size, seen = s, n, 0
+                while u:
+                    v = nxt[u].get(c)
+                    gone = items[u] & ~seen if v is None else items[u] & ~seen & ~items[v]
+                    if gone:
+                        out.append((i - size, i, gone))
+                    seen, u = items[u], up[u]
+                    size = length[u]
+            while t is None and s:
+                s = link[s]
+                n = length[s]
+                t = nxt[s].get(c)
+            if t is None:
+                continue
+            s = t
+            n += 1
+        if n >= least:
+            u, size, seen = s, n, 0
+            while u:
+                if gone := items[u] & ~seen:
+                    out.append((len(text) - size, len(text), gone))
+                seen, u = items[u], up[u]
+                size = length[u]
+        return out
+
 
 def stretches(text: str, item: str, found: list[tuple[int, int]], share: float = SHARE) -> list[tuple[int, int, float]]:
     """(start, end, share of the item) of the stretches of a document that hold enough of an item.
@@ -154,7 +203,7 @@ def _read_block(ids: list[int], texts: list[str], share: float):
             out = []
             for doc, raw in zip(pdf["doc_id"], pdf["text"]):
                 text = normal(raw)
-                found = auto.matches(text)
+                found = auto.item_matches(text)
                 if not found:
                     continue
                 # characters of each item in one run of matches with no gap longer than a word

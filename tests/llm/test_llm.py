@@ -413,3 +413,23 @@ def test_word_odds_count_every_page(spark, monkeypatch):
     rows = [(i, {"url": f"https://a.example/{i}", "content": ("Zyx qwv jkp\n" if i % 6 == 0 else "") + body(rng, 4)}) for i in range(40)]
     odds = pages.Marker(pages.pages_of(news(spark, rows))).model.value.odds
     assert all(odds[b] > 0 for b in pages.buckets("Zyx qwv jkp"))
+
+
+def test_item_matches_against_brute_force():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(5, 40))) for _ in range(6)]
+    auto = leakage.Automaton(texts)
+    for _ in range(50):
+        doc = "".join(rng.choice("abcd") for _ in range(80))
+        got = {(a, b, k) for a, b, items in auto.item_matches(doc, 3) for k in range(6) if items >> k & 1}
+        spans = [(a, b, k) for k, t in enumerate(texts) for a in range(78) for b in range(a + 3, 81) if doc[a:b] in t]
+        want = {(a, b, k) for a, b, k in spans if (b == 80 or doc[a : b + 1] not in texts[k]) and (a == 0 or doc[a - 1 : b] not in texts[k])}
+        assert got == want
+
+
+def test_items_that_share_text(spark):
+    rng = random.Random(22)
+    shared, one, two = (body(rng, n).replace("\n", " ") for n in (6, 2, 2))
+    items = spark.createDataFrame([(1, shared + " " + one), (2, shared + " " + two)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, shared + " " + two), (2, one)], "doc_id long, text string")
+    assert pairs(leakage.leaked_pairs(docs, items)) == [(1, 1), (2, 1)]
