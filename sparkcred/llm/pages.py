@@ -162,6 +162,11 @@ def constant_lines(pages: DataFrame) -> DataFrame:
     )
 
 
+def known_of(known) -> set[int]:
+    """Positions of constant lines as ``Marker._known`` gives them."""
+    return set() if known is None else set(known)
+
+
 class Model:
     """Broadcast part of the page model: sorted keys of constant lines and word log odds."""
 

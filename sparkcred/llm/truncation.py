@@ -13,7 +13,6 @@ import html
 import re
 import unicodedata
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcred.llm.pages import Marker, Model, _TERM, key_of, pages_of, site_key, split_lines
+from sparkcred.llm.pages import Marker, Memo, Model, _TERM, key_of, known_of, pages_of, site_key, split_lines
 from sparkcred.session import cut
 
-#: Pages on which the contexts of sentence ends are counted (hash sample), and the least count of a context.
-FIT_PAGES, LEAST_COUNT = 30_000, 3
+#: Least count of a context.
+LEAST_COUNT = 3
+#: Bits of the filter of contexts that some open end asks for, and tokens counted at once.
+FILTER_BITS, TOKENS_AT_ONCE = 1 << 26, 1 << 20
 #: Shares of a context's occurrences that end a sentence or line from which it counts as an end.
 END_SHARE = 0.5
 #: Prefixes under this many characters prove nothing.
@@ -51,15 +52,35 @@ def tokens(text: str) -> list[str]:
     return ["#" if t[0].isdigit() else t for t in _TOKEN.findall(s)]
 
 
-def _h(*t: str) -> int:
-    b = "\x1f".join(t).encode("utf-8", "surrogatepass")
-    return (zlib.crc32(b) << 32 | zlib.adler32(b)) - (1 << 63)
+def _token_hash(t: str) -> tuple[int, bool]:
+    """(64-bit hash, whether it closes a bracket or quote)."""
+    b = t.encode("utf-8", "surrogatepass")
+    return zlib.crc32(b) << 32 | zlib.adler32(b), unicodedata.category(t[0]) in ("Pe", "Pf")
 
 
-def contexts(t: list[str], i: int) -> list[tuple[str, ...]]:
-    """Contexts of token i from the longest to the shortest, then those that leave the token itself open."""
-    a, b, c = (t[i - 2] if i > 1 else "^"), (t[i - 1] if i else "^"), t[i]
-    return [("3", a, b, c), ("2", b, c), ("1", c), ("w2", a, b), ("w1", b)]
+def context_keys(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """[5, n] keys of the contexts of tokens c after b after a: from the longest to the shortest, then those that leave the token itself open."""
+    out = []
+    for level, parts in enumerate(((a, b, c), (b, c), (c,), (a, b), (b,)), 1):
+        h = np.full(len(c), level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, "uint64")
+        for x in parts:
+            h = (h ^ x) * np.uint64(0xFF51AFD7ED558CCD)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
+            h ^= h >> np.uint64(29)
+        out.append(h.view("int64"))
+    return np.array(out)
+
+
+_START = _token_hash("^")[0]
+
+
+def end_keys(text: str) -> list[int] | None:
+    """Keys of the contexts of the last token; None where the text has none after its last stop."""
+    s = list(_sentences(tokens(text)))[-1]
+    if not s:
+        return None
+    h = [_START, _START, *(_token_hash(t)[0] for t in s[-3:])]
+    return context_keys(*np.array(h[-3:], "uint64")[:, None])[:, 0].tolist()
 
 
 def _sentences(t: list[str]) -> Iterator[list[str]]:
@@ -74,8 +95,8 @@ def _sentences(t: list[str]) -> Iterator[list[str]]:
     yield s
 
 
-def _count_contexts(model):
-    """Counts of contexts (line 0), and one row per context that ends a line without a stop.
+def _count_contexts(model, asked: np.ndarray, wide: bool):
+    """Counts of the contexts asked for (line 0), and one row per context that ends a line without a stop.
 
     Such lines are counted once however often their text recurs, and not for contexts of one word,
     which may be the first part of a longer word.
@@ -83,70 +104,78 @@ def _count_contexts(model):
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m: Model = model.value
-        total, end, loose = Counter(), Counter(), set()
+        words = Memo(_token_hash)
+        bits = asked.value
+        # tokens with two starts before each sentence; kind 0 start, 1 inside, 2 before a stop, 3 (4: a closing mark) at a line's end
+        ids, kind, line = [], [], []
+
+        def counted() -> pd.DataFrame:
+            h, k, at = np.array(ids, "uint64"), np.array(kind, "int8"), np.flatnonzero(np.array(kind, "int8"))
+            ids.clear(), kind.clear()
+            keys = context_keys(h[at - 2], h[at - 1], h[at])
+            wanted = asked_for(bits, keys)
+            k = k[at]
+            body, ends = wanted & (k <= 2), wanted & (k == 2)
+            key, total = np.unique(keys[body], return_counts=True)
+            n_ends = np.zeros(len(key), "int64")
+            some, n = np.unique(keys[ends], return_counts=True)
+            n_ends[np.searchsorted(key, some)] = n
+            last = np.flatnonzero(k >= 3)
+            loose = wanted[:, last]
+            loose[2] &= k[last] == 4
+            loose[4] = False
+            of = np.broadcast_to(np.array(line, "int64"), loose.shape)[loose]
+            line.clear()
+            more = keys[:, last][loose]
+            return pd.DataFrame({"key": np.r_[key, more], "line": np.r_[np.zeros(len(key), "int64"), of], "total": np.r_[total, np.ones(len(more), "int64")], "ends": np.r_[n_ends, np.ones(len(more), "int64")]}).astype("int64")
+
         for pdf in parts:
-            for host, content in zip(pdf["host"], pdf["content"]):
+            for host, content, known in zip(pdf["host"], pdf["content"], pdf["known"] if wide else pdf["host"]):
                 lines = split_lines(content)
-                for x, mark in zip(lines, m.marks(host, lines)):
+                for x, mark in zip(lines, m.marks(host, lines, known_of(known) if wide else None)):
                     if mark != 0:
                         continue
                     sentences = list(_sentences(tokens(x.strip())))
-                    for n, s in enumerate(sentences):
-                        stopped = n < len(sentences) - 1
-                        for i in range(len(s)):
-                            if stopped or i < len(s) - 1:
-                                keys = [_h(*c) for c in contexts(s, i)]
-                                total.update(keys)
-                                if i == len(s) - 1:
-                                    end.update(keys)
-                            else:
-                                line = key_of(x) or 1
-                                loose.update((_h(*c), line) for c in contexts(s, i) if c[0] in ("3", "2", "w2") or c[0] == "1" and unicodedata.category(c[1][0]) in ("Pe", "Pf"))
-        rows = [(k, 0, n, end[k]) for k, n in total.items()] + [(k, line, 1, 1) for k, line in loose]
-        yield pd.DataFrame(rows, columns=["key", "line", "total", "ends"]).astype("int64")
+                    for n, s in enumerate(sentences, 1):
+                        if not s:
+                            continue
+                        got = [words[t] for t in s]
+                        ids.extend((_START, _START))
+                        ids.extend(g[0] for g in got)
+                        kind.extend((0, 0))
+                        kind.extend([1] * (len(s) - 1))
+                        if n < len(sentences):
+                            kind.append(2)
+                        else:
+                            kind.append(4 if got[-1][1] else 3)
+                            line.append(key_of(x) or 1)
+                if len(ids) >= TOKENS_AT_ONCE:
+                    yield counted()
+        yield counted()
 
     return run
 
 
-class Ends:
-    """How contexts go on: sorted keys with the share of their occurrences that are an end."""
-
-    def __init__(self, keys: np.ndarray, total: np.ndarray, ends: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.total, self.ends = keys[order], total[order], ends[order]
-
-    def look(self, c: tuple[str, ...]) -> tuple[int, float]:
-        k = _h(*c)
-        i = int(np.searchsorted(self.keys, k))
-        if i < len(self.keys) and self.keys[i] == k:
-            return int(self.total[i]), float(self.ends[i] / self.total[i])
-        return 0, 0.0
-
-    def is_cut(self, text: str) -> bool:
-        """Whether a text without a final stop ends inside a word or sentence."""
-        if _CUT_MARKUP.search(text):
-            return True
-        s = list(_sentences(tokens(text)))[-1]
-        if not s:
-            return False
-        three, two, one, w2, w1 = (self.look(c) for c in contexts(s, len(s) - 1))
-        order = (three, two, one) if one[0] >= LEAST_COUNT else (w2, w1)
-        for total, share in order:
-            if total >= LEAST_COUNT:
-                return share < END_SHARE
-        return True
-
-
-def judge(ends: Ends, text: str) -> tuple[bool, bool, str]:
-    """(open, guess, text without the mark of omission): open if neither a sentence end nor markup decides it."""
+def asked_for(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter has the keys; one that has them all by chance is left out by the join."""
+    at = keys & (FILTER_BITS - 1)
+    return (bits[at >> 6] >> (at & 63).astype("uint64") & np.uint64(1)).astype(bool)
+
+
+def judge(text: str) -> tuple[bool, bool, str, list[int] | None]:
+    """(open, guess, text without the mark of omission, context keys): open if neither a sentence end nor markup decides it.
+
+    The guess of an open end holds where its contexts say nothing: it is cut.
+    """
     bare = _MARK.sub("", text.rstrip())
     if not bare:
-        return False, False, bare
+        return False, False, bare, None
     if _CUT_MARKUP.search(bare):
-        return False, True, bare
+        return False, True, bare, None
     if _TERM.search(bare):
-        return False, False, bare
-    return True, ends.is_cut(bare), bare
+        return False, False, bare, None
+    keys = end_keys(bare)
+    return True, keys is not None, bare, keys
 
 
 def body_end(m: Model, host: str, last: str) -> str:
@@ -164,50 +193,67 @@ def body_end(m: Model, host: str, last: str) -> str:
     return last
 
 
-def _fit(marker: Marker, pages: DataFrame) -> Ends:
-    rows = pages.filter("content is not null").count()
-    if rows > FIT_PAGES:
-        pages = pages.filter(F.pmod(F.xxhash64("id", F.lit("ends")), F.lit(rows)) < FIT_PAGES)
-    got = (
-        pages.filter("content is not null").select("host", "content").mapInPandas(_count_contexts(marker.model), "key long, line long, total long, ends long")
+def _guesses(marker: Marker, pages: DataFrame, values: DataFrame) -> DataFrame:
+    """(ctx, cut) of the open ends of values by how their contexts go on in all pages; ctx is the key of the longest one.
+
+    A filter of the contexts asked for (fixed size) spares the count of most others; what passes it is
+    combined per task, summed and joined, so nothing grows with the corpus in memory.
+    """
+    spark = pages.sparkSession
+    ends = values.filter("keys is not null").select("keys").distinct().select(F.col("keys")[0].alias("ctx"), F.posexplode("keys").alias("at", "key"))
+    place = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = ends.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast((key & {FILTER_BITS - 1}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, "uint64")
+    bits[words["w"].to_numpy("int64")] = words["b"].to_numpy("int64").view("uint64")
+    wide = marker.wide
+    pages = pages.filter("content is not null").select("id", "host", "content")
+    pages = marker._known(pages).select("host", "content", "known") if wide else pages.select("host", "content")
+    counts = (
+        pages.mapInPandas(_count_contexts(marker.model, spark.sparkContext.broadcast(bits), wide), "key long, line long, total long, ends long")
         .groupBy("key", "line").agg(F.when(F.col("line") == 0, F.sum("total")).otherwise(1).alias("total"), F.when(F.col("line") == 0, F.sum("ends")).otherwise(1).alias("ends"))
-        .groupBy("key").agg(F.sum("total").alias("total"), F.sum("ends").alias("ends")).filter(F.col("total") >= LEAST_COUNT).toPandas()
+        .groupBy("key").agg(F.sum("total").alias("total"), F.sum("ends").alias("ends")).filter(F.col("total") >= LEAST_COUNT)
     )
-    return Ends(*(got[c].to_numpy("int64") for c in ("key", "total", "ends")))
+    is_cut = F.col("ends") / F.col("total") < END_SHARE
+    found = ends.join(counts, "key").groupBy("ctx").agg(*[F.max(F.when(F.col("at") == n, is_cut)).alias(f"c{n}") for n in range(5)])
+    cut_by = F.when(F.col("c2").isNotNull(), F.coalesce("c0", "c1", "c2")).otherwise(F.coalesce("c3", "c4"))
+    return found.select("ctx", cut_by.alias("cut")).filter("cut is not null")
 
 
 def _prefix_verdicts(values: DataFrame) -> DataFrame:
-    """(row, open, guess, verdict): verdict 1 cut, 0 finished, null where no longer copy exists.
+    """(row, open, guess, verdict, ctx): verdict 1 cut, 0 finished, null where no longer copy exists.
 
     Range partitions keep the global order; the first value of each partition answers for the last one
     of the partition before, so at most two values a partition reach the driver.
     """
 
+    if "ctx" not in values.columns:
+        values = values.withColumn("ctx", F.lit(0).cast("long"))
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pending: list[tuple] = []
         at, first = -1, None
         for pdf in parts:
             out = []
-            for p, row, v, is_open, guess in zip(pdf["p"], pdf["row"], pdf["v"], pdf["open"], pdf["guess"]):
+            for p, row, v, is_open, guess, ctx in zip(pdf["p"], pdf["row"], pdf["v"], pdf["open"], pdf["guess"], pdf["ctx"]):
                 if first is None:
                     first, at = v, p
-                    out.append((None, False, False, None, p, "first", v))
+                    out.append((None, False, False, None, p, "first", v, 0))
                 if pending and v != pending[0][1]:
                     old = pending[0][1]
                     verdict = None if not v.startswith(old) or len(old) < LEAST_PREFIX else int(v[len(old)] != ".")
-                    out += [(r, True, g, verdict, p, None, None) for r, _, g in pending]
+                    out += [(r, True, g, verdict, p, None, None, x) for r, _, g, x in pending]
                     pending = []
                 if is_open:
-                    pending.append((row, v, guess))
+                    pending.append((row, v, guess, ctx))
                 else:
-                    out.append((row, False, guess, None, p, None, None))
-            yield pd.DataFrame(out, columns=["row", "open", "guess", "verdict", "p", "kind", "v"]).astype({"verdict": "Int32", "row": "Int64"})
+                    out.append((row, False, guess, None, p, None, None, 0))
+            yield pd.DataFrame(out, columns=["row", "open", "guess", "verdict", "p", "kind", "v", "ctx"]).astype({"verdict": "Int32", "row": "Int64", "ctx": "int64"})
         if pending:
-            out = [(r, True, g, None, at, "last", v if i == 0 else None) for i, (r, v, g) in enumerate(pending)]
-            yield pd.DataFrame(out, columns=["row", "open", "guess", "verdict", "p", "kind", "v"]).astype({"verdict": "Int32", "row": "Int64"})
+            out = [(r, True, g, None, at, "last", v if i == 0 else None, x) for i, (r, v, g, x) in enumerate(pending)]
+            yield pd.DataFrame(out, columns=["row", "open", "guess", "verdict", "p", "kind", "v", "ctx"]).astype({"verdict": "Int32", "row": "Int64", "ctx": "int64"})
 
     ranged = values.repartitionByRange(F.col("v")).sortWithinPartitions("v").withColumn("p", F.spark_partition_id())
-    done = cut(ranged.select("p", "row", "v", "open", "guess").mapInPandas(run, "row long, open boolean, guess boolean, verdict int, p int, kind string, v string"))
+    done = cut(ranged.select("p", "row", "v", "open", "guess", "ctx").mapInPandas(run, "row long, open boolean, guess boolean, verdict int, p int, kind string, v string, ctx long"))
     edges = done.filter("v is not null").select("p", "kind", "v").collect()
     firsts = sorted((e.p, e.v) for e in edges if e.kind == "first")
     late = {}
@@ -219,7 +265,7 @@ def _prefix_verdicts(values: DataFrame) -> DataFrame:
     verdict = F.col("verdict")
     for p, x in late.items():
         verdict = F.when((F.col("p") == p) & (F.col("kind") == "last"), x).otherwise(verdict)
-    return done.filter("row is not null").select("row", "open", "guess", verdict.alias("verdict"))
+    return done.filter("row is not null").select("row", "open", "guess", verdict.alias("verdict"), "ctx")
 
 
 def judged(news: DataFrame) -> DataFrame:
@@ -229,29 +275,27 @@ def judged(news: DataFrame) -> DataFrame:
     """
     pages = pages_of(news, "summary").filter("id is not null")
     marker = Marker(pages)
-    ends = news.sparkSession.sparkContext.broadcast(_fit(marker, pages))
 
     def make(model):
-        e = ends.value
-
         def row(row, lines, marks):
             body = [x.strip() for x, m in zip(lines, marks) if m == 0]
             if body:
                 body[-1] = body_end(model, row.host, body[-1])
-                yield row.id * 2, *ended(e, body)
+                yield row.id * 2, *ended(body)
             summary = [x.strip() for x in split_lines(row.summary) if x.strip()]
             if summary:
-                yield row.id * 2 + 1, *ended(e, summary)
+                yield row.id * 2 + 1, *ended(summary)
 
         return row
 
-    def ended(e, lines):
-        is_open, guess, bare = judge(e, lines[-1])
+    def ended(lines):
+        is_open, guess, bare, keys = judge(lines[-1])
         v = value_of("\n".join([*lines[:-1], bare]))
-        return (v.rstrip(".") if is_open else v), is_open, guess
+        return (v.rstrip(".") if is_open else v), is_open, guess, keys
 
-    values = marker.apply(pages, make, "row long, v string, open boolean, guess boolean")
-    done = _prefix_verdicts(values)
+    values = cut(marker.apply(pages, make, "row long, v string, open boolean, guess boolean, keys array<long>"))
+    done = _prefix_verdicts(values.select("row", "v", "open", "guess", F.coalesce(F.get("keys", F.lit(0)), F.lit(0)).alias("ctx")))
+    done = done.join(_guesses(marker, pages, values), "ctx", "left").withColumn("guess", F.coalesce("cut", "guess"))
     is_cut = F.when(F.col("open") & F.col("verdict").isNotNull(), F.col("verdict") == 1).otherwise(F.col("guess"))
     return done.select(F.expr("row div 2").alias("id"), F.when(F.pmod("row", F.lit(2)) == 0, "content").otherwise("summary").alias("field"), is_cut.alias("cut"))
 

@@ -433,3 +433,19 @@ def test_items_that_share_text(spark):
     items = spark.createDataFrame([(1, shared + " " + one), (2, shared + " " + two)], "item_id long, text string")
     docs = spark.createDataFrame([(1, shared + " " + two), (2, one)], "doc_id long, text string")
     assert pairs(leakage.leaked_pairs(docs, items)) == [(1, 1), (2, 1)]
+
+
+def test_contexts_are_counted_on_every_page(spark, monkeypatch):
+    monkeypatch.setattr(truncation, "FIT_PAGES", 5, raising=False)
+    rng = random.Random(23)
+    rows = [(i, {"url": f"https://a.example/{i}", "content": body(rng, 4) + (f"\nRare w{chr(97 + i)}x ended here." if i < 12 else "")}) for i in range(60)]
+    rows.append((100, {"url": "https://a.example/100", "content": body(rng, 4), "summary": "Some other ended here"}))
+    assert (100, "summary") not in pairs(truncation.truncated(news(spark, rows)))
+
+
+def test_context_counts_against_a_loop(spark):
+    rows = [(i, {"url": f"https://a.example/{i}", "content": "One two three. One two five.\nMany two three."}) for i in range(5)]
+    marker = pages.Marker(p := pages.pages_of(news(spark, rows)))
+    values = spark.createDataFrame([(truncation.end_keys("One two three"),), (truncation.end_keys("Many two"),), (truncation.end_keys("five five"),), (truncation.end_keys("zzz"),)], "keys array<long>")
+    got = {r.ctx: r.cut for r in truncation._guesses(marker, p, values).collect()}
+    assert got == {truncation.end_keys(t)[0]: c for t, c in [("One two three", False), ("Many two", True), ("five five", False), ("zzz", True)]}
