@@ -226,7 +226,7 @@ class Model:
         return out
 
 
-def _region_counts(model):
+def _region_counts(model, wide: bool = False):
     """Word tokens by slot: inside the article or in the variable slots of the page around it."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,36 +234,39 @@ def _region_counts(model):
         memo = Memo(buckets)
         body, site = np.zeros(BUCKETS, "int64"), np.zeros(BUCKETS, "int64")
         for pdf in parts:
-            for host, content in zip(pdf["host"], pdf["content"]):
+            in_body, in_site = [], []
+            for host, content, known in zip(pdf["host"], pdf["content"], pdf["known"] if wide else pdf["host"]):
                 lines = split_lines(content)
                 prev, n = "^", 0
-                kinds = m.kinds(host, lines)
+                kinds = m.kinds(host, lines, known_of(known) if wide else None)
                 if sum(k != "b" for k in kinds) < 3:
                     continue
                 for x, k in zip(lines, kinds):
                     if k == "b":
                         continue
                     if k == "s" or k == "o" and prev in "sy":
-                        np.add.at(body, memo[x.strip()], 1)
+                        in_body.extend(memo[x.strip()])
                         prev = "s" if k == "s" else "y"
                     elif k == "o":
-                        np.add.at(site, memo[x.strip()], 1)
+                        in_site.extend(memo[x.strip()])
                         prev = "x"
                     else:
                         prev = "c"
                     n += 1
+            body += np.bincount(np.array(in_body, "int64"), minlength=BUCKETS)
+            site += np.bincount(np.array(in_site, "int64"), minlength=BUCKETS)
         some = np.flatnonzero(body + site)
         yield pd.DataFrame({"bucket": some.astype("int32"), "body": body[some], "site": site[some]})
 
     return run
 
 
-def word_odds(pages: DataFrame, model) -> np.ndarray:
+def word_odds(pages: DataFrame, model, wide: bool = False) -> np.ndarray:
     """Log odds that a word token belongs to a slot of the page rather than to the article (2**18 buckets).
 
     Counted on all pages: a task hands on at most one row a bucket, whatever the corpus.
     """
-    counts = pages.select("host", "content").filter("content is not null").mapInPandas(_region_counts(model), "bucket int, body long, site long")
+    counts = pages.select("host", "content", *["known"] * wide).filter("content is not null").mapInPandas(_region_counts(model, wide), "bucket int, body long, site long")
     got = counts.groupBy("bucket").agg(F.sum("body").alias("body"), F.sum("site").alias("site")).toPandas()
     body, site = np.zeros(BUCKETS), np.zeros(BUCKETS)
     body[got["bucket"]], site[got["bucket"]] = got["body"], got["site"]
@@ -292,36 +295,43 @@ def pages_of(news: DataFrame, *more: str) -> DataFrame:
 class Marker:
     """Fitted page model bound to a session; ``apply`` runs a Python function over marked pages."""
 
-    def __init__(self, pages: DataFrame, most_keys: int = MOST_KEYS):
+    def __init__(self, pages: DataFrame, most_keys: int | None = None):
         spark = pages.sparkSession
+        most_keys = MOST_KEYS if most_keys is None else most_keys
         self.constants = cut(constant_lines(pages))
-        shared = self.constants.groupBy("key").agg(F.count("*").alias("hosts")).filter("hosts >= 3")
-        n_keys = self.constants.count()
-        n_shared = shared.count()
-        self.wide = n_keys > most_keys
-        some = lambda df, c: df.select(c).toPandas()[c].to_numpy("int64")
-        shared_keys = some(shared, "key") if n_shared <= most_keys else np.zeros(0, "int64")
-        if self.wide:
-            keys = np.zeros(0, "uint64")
-        else:
+        self.shared = self.constants.groupBy("key").agg(F.count("*").alias("hosts")).filter("hosts >= 3").select("key")
+        self.wide = self.constants.count() > most_keys
+        keys, shared = np.zeros(0, "uint64"), np.zeros(0, "int64")
+        if not self.wide:
             got = self.constants.select("host", "key").toPandas()
             keys = np.sort(np.array([site_key(h, k) for h, k in zip(got["host"], got["key"])], "uint64"))
-        first = Model(keys, np.sort(shared_keys))
-        fit = spark.sparkContext.broadcast(first)
-        self.model = spark.sparkContext.broadcast(Model(keys, np.sort(shared_keys), word_odds(pages, fit)))
+            shared = np.sort(self.shared.toPandas()["key"].to_numpy("int64"))
+        fit = spark.sparkContext.broadcast(Model(keys, shared))
+        odds = word_odds(self._known(pages) if self.wide else pages, fit, self.wide)
+        self.model = spark.sparkContext.broadcast(Model(keys, shared, odds))
 
-    def _known(self, pages: DataFrame) -> DataFrame:
-        """Shuffled path: positions of constant lines found by a join, without any broadcast."""
+    def constant(self, pages: DataFrame, keys_of, name: str) -> DataFrame:
+        """Pages with the numbers of those keys that are constant on their host or shared by hosts, found by a join.
+
+        ``keys_of`` gives (number, key) for a page row. Pages are told apart by all they hold, since ids
+        may be null or repeat.
+        """
 
         def keys(parts):
-            memo = Memo(key_of)
             for pdf in parts:
-                out = [(i, h, n, memo[x.strip()]) for i, h, c in zip(pdf["id"], pdf["host"], pdf["content"]) for n, x in enumerate(split_lines(c)) if x.strip()]
-                yield pd.DataFrame(out, columns=["id", "host", "n", "key"])
+                out = [(row.page, row.host, n, k) for row in pdf.itertuples(index=False) for n, k in keys_of(row)]
+                yield pd.DataFrame(out, columns=["page", "host", "n", "key"]).astype({"page": "int64", "n": "int32", "key": "int64"})
 
-        at = pages.select("id", "host", "content").filter("content is not null").mapInPandas(keys, "id long, host string, n int, key long")
-        hit = at.join(self.constants.select("host", "key"), ["host", "key"], "left_semi").groupBy("id").agg(F.collect_set("n").alias("known"))
-        return pages.join(hit, "id", "left")
+        pages = pages.withColumn("page", F.xxhash64("host", "content"))
+        at = pages.filter("content is not null").dropDuplicates(["page"]).mapInPandas(keys, "page long, host string, n int, key long")
+        hit = at.join(self.constants.select("host", "key"), ["host", "key"], "left_semi").select("page", "n")
+        hit = hit.unionByName(at.join(self.shared, "key", "left_semi").select("page", "n")).groupBy("page").agg(F.collect_set("n").alias(name))
+        return pages.join(hit, "page", "left").drop("page")
+
+    def _known(self, pages: DataFrame) -> DataFrame:
+        """Shuffled path: positions of constant lines found by a join, without any broadcast."""
+        memo = Memo(key_of)
+        return self.constant(pages, lambda row: ((n, memo[x.strip()]) for n, x in enumerate(split_lines(row.content)) if x.strip()), "known")
 
     def apply(self, pages: DataFrame, make, schema: str) -> DataFrame:
         """``make(model)`` gives a function of one page row (namedtuple with ``marks`` and ``lines``) yielding output tuples."""
@@ -339,7 +349,7 @@ class Marker:
                     lines = split_lines(row.content)
                     known = None
                     if wide:
-                        known = set() if row.known is None else set(row.known)
+                        known = known_of(row.known)
                     out.extend(rows_of(row, lines, m.marks(row.host, lines, known)))
                 yield pd.DataFrame(out, columns=names)
 

@@ -178,21 +178,36 @@ def judge(text: str) -> tuple[bool, bool, str, list[int] | None]:
     return True, keys is not None, bare, keys
 
 
-def body_end(m: Model, host: str, last: str) -> str:
-    """The last body line without a page line glued to its end."""
-    if m.key_set is None:
-        return last
+def _tails(last: str) -> Iterator[tuple[int, int]]:
+    """(position of the blank before, key) of what may be a page line glued to the end of a line."""
     at = len(last)
     for _ in range(24):
         at = last.rfind(" ", 0, at)
         if at <= 0 or len(last) - at > 160:
             break
-        k = key_of(last[at + 1 :])
-        if site_key(host, k) in m.key_set or k in m.shared_set:
+        yield at, key_of(last[at + 1 :])
+
+
+def body_end(m: Model, host: str, last: str, glued: set[int] | None = None) -> str:
+    """The last body line without a page line glued to its end; ``glued`` has the positions found by a join."""
+    for at, k in _tails(last):
+        if (at in glued) if glued is not None else site_key(host, k) in m.key_set or k in m.shared_set:
             return last[:at].rstrip()
     return last
 
 
+def _with_glued(marker: Marker, pages: DataFrame) -> DataFrame:
+    """Shuffled path: pages with the positions in their last body line at which a page line may be glued on."""
+    model = marker.model
+
+    def tails(row):
+        lines = split_lines(row.content)
+        body = [x.strip() for x, m in zip(lines, model.value.marks(row.host, lines, known_of(row.known))) if m == 0]
+        return _tails(body[-1]) if body else ()
+
+    return marker.constant(marker._known(pages), tails, "glued").drop("known")
+
+
 def _guesses(marker: Marker, pages: DataFrame, values: DataFrame) -> DataFrame:
     """(ctx, cut) of the open ends of values by how their contexts go on in all pages; ctx is the key of the longest one.
 
@@ -275,12 +290,13 @@ def judged(news: DataFrame) -> DataFrame:
     """
     pages = pages_of(news, "summary").filter("id is not null")
     marker = Marker(pages)
+    wide = marker.wide
 
     def make(model):
         def row(row, lines, marks):
             body = [x.strip() for x, m in zip(lines, marks) if m == 0]
             if body:
-                body[-1] = body_end(model, row.host, body[-1])
+                body[-1] = body_end(model, row.host, body[-1], known_of(row.glued) if wide else None)
                 yield row.id * 2, *ended(body)
             summary = [x.strip() for x in split_lines(row.summary) if x.strip()]
             if summary:
@@ -293,7 +309,7 @@ def judged(news: DataFrame) -> DataFrame:
         v = value_of("\n".join([*lines[:-1], bare]))
         return (v.rstrip(".") if is_open else v), is_open, guess, keys
 
-    values = cut(marker.apply(pages, make, "row long, v string, open boolean, guess boolean, keys array<long>"))
+    values = cut(marker.apply(_with_glued(marker, pages) if wide else pages, make, "row long, v string, open boolean, guess boolean, keys array<long>"))
     done = _prefix_verdicts(values.select("row", "v", "open", "guess", F.coalesce(F.get("keys", F.lit(0)), F.lit(0)).alias("ctx")))
     done = done.join(_guesses(marker, pages, values), "ctx", "left").withColumn("guess", F.coalesce("cut", "guess"))
     is_cut = F.when(F.col("open") & F.col("verdict").isNotNull(), F.col("verdict") == 1).otherwise(F.col("guess"))

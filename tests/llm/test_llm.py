@@ -449,3 +449,20 @@ def test_context_counts_against_a_loop(spark):
     values = spark.createDataFrame([(truncation.end_keys("One two three"),), (truncation.end_keys("Many two"),), (truncation.end_keys("five five"),), (truncation.end_keys("zzz"),)], "keys array<long>")
     got = {r.ctx: r.cut for r in truncation._guesses(marker, p, values).collect()}
     assert got == {truncation.end_keys(t)[0]: c for t, c in [("One two three", False), ("Many two", True), ("five five", False), ("zzz", True)]}
+
+
+def test_shuffled_path_agrees(spark, monkeypatch):
+    rows = site(spark, 48, 5)
+    for i, r in rows[:6]:
+        r["content"] = r["content"].replace(f"\nCopyright {2000 + i}", f"\nThe end of it is Copyright {2000 + i}").replace("\nShare this", " Share this")
+        r["content"] += "\nOther notice" * (i % 2)
+    for i, r in rows[6:12]:
+        r["content"] = "\n".join(r["content"].split("\n")[:-2]) + " Menu one"
+    df, docs = news(spark, rows + ODD), table(spark, DATA, "documents")
+    marks = lambda: pages.Marker(pages.pages_of(df)).model.value.odds
+    queries = [lambda: pairs(truncation.judged(df)), lambda: pairs(boilerplate.boilerplate_lines(df).filter("id is not null")), lambda: pairs(near_duplicates.near_pairs(df)), lambda: pairs(language.language_cases(df, docs).filter("id is not null"))]
+    odds, want = marks(), [q() for q in queries]
+    monkeypatch.setattr(pages.Marker.__init__, "__defaults__", (0,))
+    assert (marks() == odds).all()
+    for q, w in zip(queries, want):
+        assert q() == w
