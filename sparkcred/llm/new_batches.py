@@ -4,8 +4,8 @@ Addresses are brought to one form and joined. Titles are stripped of what is not
 equal ones are joined too, and the rest is found by graph search: a title is a 256-bit map of its letter
 pairs; it is routed by three min-hashes to three segments, and each segment keeps navigable small-world
 graphs: one of the history, a new one for each batch, and every few batches these are compacted into the
-first. Beams are widened until sampled searches agree with an exhaustive one. Candidates within the
-radius are reranked exactly by edits. Links carry on through connected components.
+first. Beams are widened until sampled searches agree with an exhaustive one; a title whose beam
+ends within the radius is compared with its whole shard. Candidates within the radius are reranked exactly by edits. Links carry on through connected components.
 
 The number of segments follows the number of titles and a title visits three of them, so a batch costs its
 own size and not that of the history.
@@ -155,6 +155,7 @@ def _segment(pdf: pd.DataFrame) -> pd.DataFrame:
     ids, batch, keys, mine = pdf["id"].to_numpy(), pdf["batch_no"].to_numpy(), pdf["title_key"].tolist(), pdf["part"].to_numpy() == pdf["home"].to_numpy()
     bits = np.frombuffer(b"".join(pdf["bits"]), "uint64").reshape(len(pdf), BITS // 64)
     hashes = np.array(pdf["rings"].tolist(), "int64")
+    digits = pd.factorize(np.array(["".join(c for c in k if c.isdigit()) for k in keys], dtype=object))[0]
     shards: list[tuple[SmallWorld, np.ndarray]] = []
     links: set[tuple[int, int]] = set()
 
@@ -165,9 +166,10 @@ def _segment(pdf: pd.DataFrame) -> pd.DataFrame:
 
     def search(rows: np.ndarray) -> None:
         for g, own in shards:
-            found, dist = g.search(bits[rows], g.beam, hashes[rows])
-            x, y = np.nonzero((found >= 0) & (dist <= RADIUS))
-            for q, r in zip(rows[x], own[found[x, y]]):
+            x, y = g.within(bits[rows], RADIUS, hashes[rows])
+            x, y = rows[x], own[y]
+            alike = digits[x] == digits[y]  # others are different headlines
+            for q, r in zip(x[alike].tolist(), y[alike].tolist()):
                 if q != r and (min(q, r), max(q, r)) not in seen:
                     seen.add((min(q, r), max(q, r)))
                     if same_headline(keys[q], keys[r]):

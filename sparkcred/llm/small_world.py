@@ -21,7 +21,7 @@ class SmallWorld:
     """
 
     def __init__(self, bits: np.ndarray, hashes: np.ndarray, beam: int = 8):
-        self.bits, self.beam, self.size = np.ascontiguousarray(bits), beam, 0
+        self.bits, self.beam, self.size, self.exact = np.ascontiguousarray(bits), beam, 0, False
         n, rings = hashes.shape
         self.links = np.full((n, NEAR + BACK + 2 * rings + LONG), -1, "int32")
         self.rng = np.random.default_rng(n)
@@ -113,19 +113,41 @@ class SmallWorld:
             ids[rows], dist[rows], todo[rows] = np.where(d >= far, -1, i), d, t & (d < far)
         return ids, dist
 
+    def within(self, q: np.ndarray, radius: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(queries, nodes) within the radius; exact for queries whose beam may have left some out."""
+        found, dist = self.search(q, self.beam, hashes)
+        full = self.overfull(found, dist, radius)
+        x, y = np.nonzero((found >= 0) & (dist <= radius) & ~full[:, None])
+        out = [(x, found[x, y])]
+        block = max(1, (1 << 20) // max(1, len(self.bits)))
+        rest = np.flatnonzero(full)
+        for i in range(0, len(rest), block):
+            x, y = np.nonzero(distances(q[rest[i : i + block]][:, None], self.bits[None]) <= radius)
+            out.append((rest[i + x], y))
+        return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+    def overfull(self, found: np.ndarray, dist: np.ndarray, radius: int) -> np.ndarray:
+        """Queries to be compared with the whole shard: their beam ends within the radius, or beams are too narrow here."""
+        return np.full(len(found), True) if self.exact else (found[:, -1] >= 0) & (dist[:, -1] <= radius)
+
     def tune(self, hashes: np.ndarray, radius: int, sample: int = 512, recall: float = 0.92, most: int = 128) -> int:
         """Widen the beam until searches from a sample of nodes find what an exhaustive search finds within the radius.
 
-        A title is searched in several segments, so the share found by all of them together is far higher.
+        All neighbours count. Queries that ``within`` compares with the whole shard are left out; if the widest
+        beam is still below the recall, all of them are. A title is searched in several segments, so the share
+        found by all of them together is far higher.
         """
         n = len(self.bits)
         at = np.unique(np.linspace(0, n - 1, min(sample, n)).astype(int))
         exact = distances(self.bits[at][:, None], self.bits[None]) <= radius
         near = [np.flatnonzero(x) for x in exact]
-        while self.beam < most:
-            ids, _ = self.search(self.bits[at], self.beam, hashes[at])
-            hit = sum(min(self.beam, np.isin(x, i).sum()) for x, i in zip(near, ids))
-            if hit >= recall * sum(min(self.beam, len(x)) for x in near):
+        while True:
+            ids, dist = self.search(self.bits[at], self.beam, hashes[at])
+            beam = [(x, i) for x, i, full in zip(near, ids, self.overfull(ids, dist, radius)) if not full]
+            if sum(np.isin(x, i).sum() for x, i in beam) >= recall * sum(len(x) for x, _ in beam):
+                break
+            if self.beam >= most:
+                self.exact = True
                 break
             self.beam *= 2
         return self.beam

@@ -466,3 +466,17 @@ def test_shuffled_path_agrees(spark, monkeypatch):
     assert (marks() == odds).all()
     for q, w in zip(queries, want):
         assert q() == w
+
+
+def test_templated_headlines_fill_no_beam(spark):
+    import pandas as pd
+
+    rng = random.Random(24)
+    keys = [f"dailymarketreportfortheharbordistrictnumber{n:04d}" for n in range(600)]
+    pick = rng.sample(range(600), 40)
+    keys += [keys[k].replace("harbor", "harbour").replace("report", "repport") for k in pick]
+    bits, route = new_batches.title_bits(keys)
+    got = new_batches._segment(pd.DataFrame({
+        "id": range(len(keys)), "batch_no": 0, "title_key": keys, "bits": [b.tobytes() for b in bits], "rings": list(new_batches.rings(route)[:, 0]), "part": 0, "home": 0,
+    }))
+    assert set(zip(got["a"], got["b"])) >= {(k, 600 + n) for n, k in enumerate(pick)}
