@@ -1,7 +1,7 @@
 """Problem 6: page boilerplate mixed with main content.
 
-Equivalence classes of line tokens per host are deduced by ``pages``; here they are nested into a
-template, and the article slot is extracted.
+Frequent lines of a host and the words of open lines decide, both fitted by ``pages``. Equivalence classes
+of line tokens are only listed (``templates``); they are not nested and do not reach the other results.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def bodies(news: DataFrame, *more: str) -> DataFrame:
 def templates(news: DataFrame) -> DataFrame:
     """Equivalence classes of constant lines: (host, vector, n_lines, pages, n_sentences).
 
-    Lines of a host with the same occurrence vector are one class; a class nests in another where its pages are fewer.
+    Lines of a host with the same occurrence vector are one class; classes are not nested.
     """
     return constant_lines(pages_of(news)).groupBy("host", "vector").agg(
         F.count("*").cast("int").alias("n_lines"), F.max("pages").alias("pages"), F.sum(F.col("sentence").cast("int")).cast("int").alias("n_sentences")
