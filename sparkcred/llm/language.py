@@ -22,10 +22,12 @@ from sparkcred.llm.pages import Marker, pages_of, split_lines
 
 LANGUAGES = ("ko", "en", "ja", "zh", "es", "fr", "de")
 ORDER = 4
-#: The models are fitted on at most this many labelled texts and characters a language.
-FIT_TEXTS, FIT_CHARS = 600, 250_000
-#: Natural log odds over a whole line from which it is in another language than its record.
-LINE_ODDS, LEAST_LETTERS = 8.0, 8
+#: The models are fitted on at most this many labelled texts and characters a language, none longer than FIT_LONGEST.
+FIT_TEXTS, FIT_CHARS, FIT_LONGEST, FIT_FOLDS = 600, 250_000, 20_000, 4
+#: A line is in another language than its record if that language's cross-entropy per character is lower by what
+#: all but this share of held-out lines show against any other language, and by LEAST_GAP at least; over the line
+#: that must come to LINE_ODDS. Lines under LEAST_LETTERS letters are no evidence.
+GAP_QUANTILE, LEAST_GAP, LINE_ODDS, LEAST_LETTERS = 0.001, 0.2, 8.0, 8
 #: Log odds that a line is in its record's language, or a page line in the page's.
 PRIOR = 2.0
 #: Quantile of held-out cross-entropy beyond which (plus a margin) a text is rejected.
@@ -49,7 +51,7 @@ _OTHER = re.compile(r"[\W\d_]+")
 def label_code(label: F.Column) -> F.Column:
     """Two-letter code of a language label in any usual form; null where it names none of the languages."""
     first = F.lower(F.regexp_extract(F.trim(label), r"^([A-Za-z]+)(?:[-_].*)?$", 1))
-    return F.coalesce(*[F.when(first == k, F.lit(v)) for k, v in CODES.items()])
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair]), first)
 
 
 def normal(text: str) -> str:
@@ -117,7 +119,7 @@ class KneserNey:
             self.ctx[n], self.logb[n] = ctxs, np.log(np.maximum(back, 1e-6)).astype("float32")
             self.floor = np.log(1.0 / (vocab + 1))
             lower = lambda x, n=n: np.exp(self._rows(x, n))
-        self.temperature, self.limit = 1.0, np.full(n_lang, np.inf)
+        self.temperature, self.limit, self.gap = 1.0, np.full(n_lang, np.inf), LEAST_GAP
 
     def _rows(self, x: np.ndarray, n: int) -> np.ndarray:
         """Log probabilities of packed n-grams of one order, one column a language."""
@@ -158,24 +160,30 @@ class KneserNey:
         return out, sizes
 
     def calibrate(self, held: list[tuple[str, str]]) -> None:
-        """Temperature of the posterior and limits of rejection from held-out labelled texts."""
+        """Temperature, limits of rejection and least gap from held-out normalised lines of known language."""
+        held = [(k, x) for k, x in held if len(x) >= 20]
         if not held:
             return
-        score, size = self.scores([normal(t) for _, t in held])
-        truth = np.array([self.languages.index(x) for x, _ in held])
-        ok = size >= 20
+        score, size = self.scores([x for _, x in held])
+        truth = np.array([self.languages.index(k) for k, _ in held])
         best = (np.inf, 1.0)
         for t in (1, 2, 4, 8, 16, 32):
-            z = score[ok] / t
+            z = score / t
             z = z - z.max(axis=1, keepdims=True)
-            loss = -(z[np.arange(ok.sum()), truth[ok]] - np.log(np.exp(z).sum(axis=1))).mean()
+            loss = -(z[np.arange(len(truth)), truth] - np.log(np.exp(z).sum(axis=1))).mean()
             best = min(best, (loss, float(t)))
         self.temperature = best[1]
-        entropy = -score[np.arange(len(truth)), truth] / (size + 1)
+        entropy = -score / (size + 1)[:, None]
+        own = entropy[np.arange(len(truth)), truth]
         for j in range(len(self.languages)):
-            own = entropy[ok & (truth == j)]
-            if len(own) >= 5:
-                self.limit[j] = np.quantile(own, REJECT_QUANTILE) + REJECT_MARGIN
+            if (truth == j).sum() >= 5:
+                self.limit[j] = np.quantile(own[truth == j], REJECT_QUANTILE) + REJECT_MARGIN
+        entropy[np.arange(len(truth)), truth] = np.inf
+        self.gap = max(LEAST_GAP, float(np.quantile(entropy.min(axis=1) - own, GAP_QUANTILE)))
+
+    def entropies(self, score: np.ndarray, size) -> np.ndarray:
+        """Cross-entropy per character of scores, the end of the text counted as one."""
+        return -score / (np.asarray(size) + 1)[..., None]
 
     def posterior(self, score: np.ndarray) -> np.ndarray:
         z = score / self.temperature
@@ -183,40 +191,54 @@ class KneserNey:
         return z / z.sum(axis=-1, keepdims=True)
 
 
-def fit(documents: DataFrame) -> KneserNey:
-    """Fit on a bounded hash sample of labelled documents; a second pass leaves out texts whose label their own model denies.
+def labelled_sample(documents: DataFrame) -> dict[str, list[str]]:
+    """Texts by language from a bounded hash sample of the labelled documents.
 
-    Null or unusual labels, null texts and empty tables are allowed; a language without texts never wins over a fitted one.
+    A language gives the documents whose hash lies under a threshold set by its count, so what reaches the
+    driver is at most about FIT_TEXTS texts of FIT_LONGEST characters a language, whatever the corpus.
     """
-    labelled = documents.select(F.col("text"), label_code(F.col("lang")).alias("lang"), F.xxhash64("doc_id", F.lit("fit")).alias("h")).filter("lang is not null and text is not null")
-    # the sample is the smallest hashes of each language; each partition keeps its own smallest first
-    def smallest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for pdf in parts:
-            best = pdf if best is None else pd.concat([best, pdf])
-            best = best.sort_values("h").groupby("lang", sort=False).head(FIT_TEXTS)
-        if best is not None and len(best):
-            yield pd.DataFrame({c: best[c].tolist() for c in best.columns})  # a column of one Arrow chunk
+    h = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 40))
+    ok = documents.select(F.col("text"), label_code(F.col("lang")).alias("lang"), h.alias("h"))
+    ok = ok.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= FIT_LONGEST))
+    sizes = {r["lang"]: r["n"] for r in ok.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    out: dict[str, list[str]] = {}
+    if not sizes:
+        return out
+    reach = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, 1.25 * FIT_TEXTS / n) * (1 << 40)))])
+    for r in sorted(ok.filter(F.col("h") < F.try_element_at(reach, F.col("lang"))).collect(), key=lambda r: (r["h"], r["text"])):
+        own = out.setdefault(r["lang"], [])
+        if len(own) < FIT_TEXTS and sum(map(len, own)) < FIT_CHARS:
+            own.append(r["text"])
+    return out
+
 
-    few = labelled.mapInPandas(smallest, labelled.schema).toPandas().sort_values(["h", "text"]).groupby("lang", sort=False).head(FIT_TEXTS)
-    texts: dict[str, list[str]] = {}
+def fit(documents: DataFrame) -> KneserNey:
+    """Fit on the lines of a bounded sample of labelled documents, without those whose label the others deny.
+
+    A line is judged by models that have not seen its text (FIT_FOLDS parts, twice), so neither a wrong
+    label nor a text in two languages can vouch for itself. Null or unusual labels, null texts and empty
+    tables are allowed; a language without texts never wins over a fitted one.
+    """
+    # (part, line) by language; equal lines may stand in several texts and count as often
+    lines = {k: [(n % FIT_FOLDS, x) for n, t in enumerate(v) for x in map(normal, t.split("\n")) if x] for k, v in labelled_sample(documents).items()}
     held: list[tuple[str, str]] = []
-    for lang, g in few.groupby("lang"):
-        size = 0
-        for n, t in enumerate(g["text"]):
-            if size >= FIT_CHARS:
-                break
-            size += len(t)
-            held.append((lang, t)) if n % 5 == 4 else texts.setdefault(lang, []).append(t)
-    first = KneserNey(texts)
-
-    def agreed(lang: str, ts: list[str]) -> list[str]:
-        score, _ = first.scores([normal(t) for t in ts])
-        return [t for t, s in zip(ts, score) if LANGUAGES[int(s.argmax())] == lang] or ts
-
-    model = KneserNey({k: agreed(k, v) for k, v in texts.items()})
-    score, _ = model.scores([normal(t) for _, t in held]) if held else (np.zeros((0, 1)), None)
-    model.calibrate([h for h, s in zip(held, score) if LANGUAGES[int(s.argmax())] == h[0]])
+    for _ in range(2):
+        kept: dict[str, list[tuple[int, str]]] = {k: [] for k in lines}
+        held = []
+        for fold in range(FIT_FOLDS):
+            part = {k: [x for f, x in v if f != fold] for k, v in lines.items()}
+            rest = [(k, x) for k, v in lines.items() for f, x in v if f == fold and part[k]]
+            score, _ = KneserNey(part).scores([x for _, x in rest]) if rest else (np.zeros((0, 1)), None)
+            agreed = [kx for kx, s in zip(rest, score) if LANGUAGES[int(s.argmax())] == kx[0]]
+            for k, x in agreed:
+                kept[k].append((fold, x))
+            if fold == 0:
+                held = agreed
+        lines = {k: kept[k] or v for k, v in lines.items()}
+    tuned = KneserNey({k: [x for f, x in v if f] or [x for _, x in v] for k, v in lines.items()})
+    tuned.calibrate(held)
+    model = KneserNey({k: [x for _, x in v] for k, v in lines.items()})
+    model.temperature, model.limit, model.gap = tuned.temperature, tuned.limit, tuned.gap
     return model
 
 
@@ -236,7 +258,11 @@ def _tagger(kn: KneserNey):
 
 
 def _decide(kn: KneserNey, lines, marks, ts, score):
-    """(record's score, language per non-blank line, score per line, mixed)."""
+    """(record's score and size, its language, score per line, mixed); None where there is no letter.
+
+    Another language counts for a line only if its model explains the line: by the calibrated gap in
+    cross-entropy per character, and within its limit of rejection.
+    """
     body = np.array([m == 0 and bool(t) for m, t in zip(marks, ts)], bool)
     if not body.any():
         body = np.array([bool(t) for t in ts], bool)
@@ -244,13 +270,15 @@ def _decide(kn: KneserNey, lines, marks, ts, score):
         return None
     total = score[body].sum(axis=0)
     own = int(total.argmax())
+    sizes = np.array([len(t) for t in ts])
     letters = np.array([len(t.replace(" ", "")) for t in ts])
-    odds = score.max(axis=1) - score[:, own]
-    other = body & (letters >= LEAST_LETTERS) & (odds >= LINE_ODDS)
+    entropy = kn.entropies(score, sizes)
+    gap, least = entropy[:, own] - entropy.min(axis=1), entropy.min(axis=1)
+    other = body & (letters >= LEAST_LETTERS) & (gap >= np.maximum(kn.gap, LINE_ODDS / (sizes + 1))) & (least <= kn.limit[entropy.argmin(axis=1)])
     page = np.array([m == 1 for m in marks], bool)
     around = score[page].sum(axis=0) if page.any() else total
     prior = np.where(page[:, None], PRIOR * 2 * (np.arange(score.shape[1]) == around.argmax()), PRIOR * (np.arange(score.shape[1]) == own))
-    return total, own, score + prior, bool(other.any())
+    return total, int((sizes[body] + 1).sum() - 1), own, score + prior, bool(other.any())
 
 
 def _tagged(news: DataFrame, documents: DataFrame, make_rows, schema: str) -> DataFrame:
@@ -282,19 +310,19 @@ def _tagged(news: DataFrame, documents: DataFrame, make_rows, schema: str) -> Da
 def language_cases(news: DataFrame, documents: DataFrame) -> DataFrame:
     """(id, line_no, lang): records with a missing or wrong label (line_no 0), and every line of records in two languages.
 
-    Null or blank content gives no rows, content without any letter neither.
+    Null or blank content gives no rows, content without any letter and bodies rejected by every model neither.
     """
 
     def rows(kn, row, lines, marks, ts, score):
         got = _decide(kn, lines, marks, ts, score)
         if got is None:
             return
-        total, own, per_line, mixed = got
+        total, size, own, per_line, mixed = got
         if mixed:
             for n, (x, s) in enumerate(zip(lines, per_line), 1):
                 if x.strip():
                     yield row.id, n, kn.languages[int(s.argmax())]
-        elif row.label != kn.languages[own]:
+        elif row.label != kn.languages[own] and kn.entropies(total, size)[own] <= kn.limit[own]:
             yield row.id, 0, kn.languages[own]
 
     return _tagged(news, documents, rows, "id long, line_no int, lang string")
@@ -309,15 +337,14 @@ def languages(news: DataFrame, documents: DataFrame) -> DataFrame:
     def named(kn, score, size):
         j = int(score.argmax())
         sure = float(kn.posterior(score)[j])
-        return (kn.languages[j] if -score[j] / (size + 1) <= kn.limit[j] else "und"), sure
+        return (kn.languages[j] if kn.entropies(score, size)[j] <= kn.limit[j] else "und"), sure
 
     def rows(kn, row, lines, marks, ts, score):
         got = _decide(kn, lines, marks, ts, score)
         if got is None:
             yield row.id, 0, "und", 0.0
             return
-        total, own, per_line, mixed = got
-        size = sum(len(t) + 1 for t, m in zip(ts, marks) if m == 0 and t) or sum(len(t) + 1 for t in ts)
+        total, size, own, per_line, mixed = got
         yield row.id, 0, *named(kn, total, size)
         if mixed:
             for n, (x, s, t) in enumerate(zip(lines, per_line, ts), 1):
