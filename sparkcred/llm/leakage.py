@@ -8,10 +8,12 @@ holds the required share of its text.
 
 from __future__ import annotations
 
-import unicodedata
+import bisect
 import re
+import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +30,14 @@ def normal(text: str) -> str:
     return _NOT_ALNUM.sub("", unicodedata.normalize("NFKC", text).casefold())
 
 
-def raw_positions(text: str) -> list[int]:
-    """For each character of the normalised text the position of the raw character it comes from."""
-    out: list[int] = []
-    for i, c in enumerate(text):
-        out += [i] * len(normal(c))
-    return out
+def raw_positions(raw: str, text: str):
+    """Function from a position of the normalised text to that of the raw character it comes from."""
+    sizes = {c: len(normal(c)) for c in set(raw)}
+    ends = np.cumsum([sizes[c] for c in raw])
+    if len(ends) and ends[-1] == len(text):
+        return lambda at: int(np.searchsorted(ends, at, "right"))
+    # characters that only join with their neighbours: by the sizes of normalised beginnings
+    return lambda at: bisect.bisect_right(range(len(raw) - 1), at, key=lambda i: len(normal(raw[: i + 1])))
 
 
 class Automaton:
@@ -111,8 +115,8 @@ class Automaton:
                 up[s] = p if self.items[p] != self.items[s] else up[p]
         return up
 
-    def item_matches(self, text: str, least: int = LEAST_MATCH) -> list[tuple[int, int, int]]:
-        """(start, end, items) of the maximal matches of each item by itself.
+    def item_matches(self, text: str, least: int = LEAST_MATCH, mask: int = -1) -> list[tuple[int, int, int]]:
+        """(start, end, items) of the maximal matches of each item by itself; of the items of the mask at least.
 
         An item whose match ends is reported there, though another item goes on; so is one that holds only
         a suffix of what another item holds.
@@ -124,11 +128,11 @@ class Automaton:
         out, s, n = [], 0, 0
         for i, c in enumerate(text):
             t = nxt[s].get(c)
-            if n >= least and (t is None or items[t] != items[s] or up[s]):
+            if n >= least and (t is None or items[t] & mask != items[s] & mask or up[s]):
                 u, size, seen = s, n, 0
                 while u:
                     v = nxt[u].get(c)
-                    gone = items[u] & ~seen if v is None else items[u] & ~seen & ~items[v]
+                    gone = items[u] & mask & ~seen if v is None else items[u] & mask & ~seen & ~items[v]
                     if gone:
                         out.append((i - size, i, gone))
                     seen, u = items[u], up[u]
@@ -144,7 +148,7 @@ class Automaton:
         if n >= least:
             u, size, seen = s, n, 0
             while u:
-                if gone := items[u] & ~seen:
+                if gone := items[u] & mask & ~seen:
                     out.append((len(text) - size, len(text), gone))
                 seen, u = items[u], up[u]
                 size = length[u]
@@ -183,60 +187,144 @@ def stretches(text: str, item: str, found: list[tuple[int, int]], share: float =
     return out
 
 
-_built: dict[int, tuple[list[str], Automaton]] = {}
+class Seeds:
+    """Which items a document may hold, from all its character sequences of the least match length at once.
 
+    A stretch that counts has at least ``share * EXACT_SHARE`` of its item in matches no more than a word
+    apart, and every match is covered by sequences of the least length, so an item whose sequences cover less
+    in any such run cannot have leaked. The rest of the items is left to the automaton.
+    """
 
-def _automaton(texts: list[str]) -> Automaton:
+    TABLE = 1 << 22
+
+    def __init__(self, texts: list[str], share: float = SHARE, least: int = LEAST_MATCH):
+        self.least, self.n = least, len(texts)
+        grams = [self.hashes(t) for t in texts]
+        every = np.concatenate([*grams, np.zeros(0, "uint64")])
+        order = np.argsort(every, kind="stable")
+        # item and place in it of every sequence, in the order of the sequences
+        self.owner = np.repeat(np.arange(len(texts)), [len(g) for g in grams]).astype("int64")[order]
+        self.place = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, "int64")])[order]
+        self.grams, first = np.unique(every[order], return_index=True)
+        self.first = np.append(first, len(every)).astype("int64")
+        self.there = np.zeros(self.TABLE, bool)
+        self.there[(self.grams & np.uint64(self.TABLE - 1)).astype("int64")] = True
+        self.need = np.array([share * EXACT_SHARE * len(t) for t in texts])
+
+    def hashes(self, text: str) -> np.ndarray:
+        h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "uint32").astype("uint64") * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        out, base, have, left, at = None, 0x100000001B3, 1, self.least, 0
+        # sequences of doubled lengths; those that make up the least length are put together
+        while left:
+            if left & 1:
+                part = h[at:]
+                out = part if out is None else out[: len(part)] * np.uint64(base) + part[: len(out)]
+                at += have
+            left >>= 1
+            if left:
+                h = h[:-have] * np.uint64(base) + h[have:] if len(h) > have else h[:0]
+                base, have = base * base & 0xFFFFFFFFFFFFFFFF, have * 2
+        return (out if len(text) >= self.least else out[:0]) * np.uint64(0xFF51AFD7ED558CCD)
+
+    def candidates(self, docs: list[str]) -> list[tuple[int, int, int, int]]:
+        """(document, item, start, end) of the runs that may count, in order; all of an item's matches there lie inside."""
+        if not len(self.grams) or not docs:
+            return []
+        size = np.array([len(t) for t in docs], "int64") + 1
+        end = np.cumsum(size)
+        h = self.hashes("\0".join(docs) + "\0")
+        at = np.flatnonzero(self.there[(h & np.uint64(self.TABLE - 1)).astype("int64")])
+        place = np.searchsorted(self.grams, h[at])
+        place[place == len(self.grams)] = 0
+        ok = self.grams[place] == h[at]
+        at, place = at[ok], place[ok]
+        many = self.first[place + 1] - self.first[place]
+        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        source = np.repeat(self.first[place], many) + within
+        pos = np.repeat(at, many)
+        pair = np.searchsorted(end, pos, "right") * self.n + self.owner[source]
+        # a sequence covers at most its length, so pairs with too few are out before anything is sorted
+        n = np.bincount(pair, minlength=len(docs) * self.n)
+        keep = (n * self.least >= np.tile(self.need, len(docs)))[pair]
+        pair, pos, source = pair[keep], pos[keep], source[keep]
+        order = np.argsort((pair << 32) | pos)  # a batch has fewer than 2**31 characters
+        pair, pos, source = pair[order], pos[order], source[order]
+        if not len(pair):
+            return []
+        starts, held = self.covered(pair, pos, self.least + WORD_CHARS)
+        good = held >= self.need[pair[starts] % self.n] - 1e-9
+        # what a run covers of the item itself must be enough too
+        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(pair))))
+        some = good[run]
+        key = np.sort((run[some] << 32) | self.place[source[some]])
+        firsts, own = self.covered(key >> 32, key & 0xFFFFFFFF, 1 << 40)
+        runs = (key >> 32)[firsts]
+        good = runs[own >= self.need[pair[starts[runs]] % self.n] - 1e-9]
+        last = np.append(starts[1:], len(pair))[good] - 1
+        doc, at = pair[starts[good]] // self.n, end - size
+        return list(zip(doc.tolist(), (pair[starts[good]] % self.n).tolist(), (pos[starts[good]] - at[doc]).tolist(), (pos[last] + self.least - at[doc]).tolist()))
+
+    def covered(self, group: np.ndarray, pos: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first row, characters covered) of each run of sorted positions no further than ``most`` apart."""
+        if not len(group):
+            return np.zeros(0, "int64"), np.zeros(0, "int64")
+        step = np.diff(pos, prepend=pos[0])
+        new = np.r_[True, (group[1:] != group[:-1]) | (step[1:] > most)]
+        starts = np.flatnonzero(new)
+        return starts, np.add.reduceat(np.where(new, self.least, np.minimum(step, self.least)), starts)
+
+
+_built: dict[tuple, tuple[Automaton, Seeds]] = {}
+
+
+def _automaton(texts: tuple[str, ...], share: float) -> tuple[Automaton, Seeds]:
     """One per worker process and block of items."""
-    key = hash(tuple(texts))
-    if key not in _built or _built[key][0] != texts:
+    key = (texts, share)
+    if key not in _built:
         _built.clear()
-        _built[key] = (texts, Automaton(texts))
-    return _built[key][1]
+        _built[key] = (Automaton(list(texts)), Seeds(list(texts), share))
+    return _built[key]
+
+
+#: Characters of documents that are looked at together.
+BATCH_CHARS = 400_000
 
 
 def _read_block(ids: list[int], texts: list[str], share: float):
+    texts = tuple(texts)
+
+    def leaks_of(raw: str, text: str, runs: list[tuple[int, int, int]], auto: Automaton):
+        places = None
+        for k, first, last in runs:
+            found = [(a, b) for a, b, _ in auto.item_matches(text[first:last], mask=1 << k)]
+            for a, b, held in stretches(text[first:last], texts[k], found, share):
+                places = places or raw_positions(raw, text)
+                yield ids[k], places(first + a), places(first + b - 1) + 1, held
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        auto = _automaton(texts)
-        sizes = [len(t) for t in texts]
+        auto, seeds = _automaton(texts, share)
         for pdf in parts:
-            out = []
-            for doc, raw in zip(pdf["doc_id"], pdf["text"]):
-                text = normal(raw)
-                found = auto.item_matches(text)
-                if not found:
+            rows, raws, norm, out, size = list(zip(pdf["doc_id"].tolist(), pdf["h"].tolist())), pdf["text"].tolist(), [], [], 0
+            start = 0
+            for i, raw in enumerate(raws):
+                norm.append(normal(raw))
+                size += len(norm[-1])
+                if size < BATCH_CHARS and i + 1 < len(raws):
                     continue
-                # characters of each item in one run of matches with no gap longer than a word
-                open_at: dict[int, int] = {}
-                run_size: dict[int, int] = {}
-                per: dict[int, int] = {}
-                for a, b, items in found:
-                    while items:
-                        low = items & -items
-                        k = low.bit_length() - 1
-                        n = run_size.get(k, 0) + b - a if a - open_at.get(k, -(1 << 40)) <= WORD_CHARS else b - a
-                        open_at[k], run_size[k] = b, n
-                        if n > per.get(k, 0):
-                            per[k] = n
-                        items ^= low
-                places = None
-                for k, n in per.items():
-                    if n < share * EXACT_SHARE * sizes[k]:
-                        continue
-                    for a, b, held in stretches(text, texts[k], [(a, b) for a, b, items in found if items >> k & 1], share):
-                        places = places or raw_positions(raw)
-                        out.append((ids[k], doc, places[a], places[b - 1] + 1, held))
-            yield pd.DataFrame(out, columns=["item_id", "doc_id", "start", "end", "share"])
+                runs: dict[int, list[tuple[int, int, int]]] = {}
+                for d, *at in seeds.candidates(norm):
+                    runs.setdefault(d, []).append(at)
+                for d, at in runs.items():
+                    out += [(item, *rows[start + d], *found) for item, *found in leaks_of(raws[start + d], norm[d], at, auto)]
+                start, norm, size = i + 1, [], 0
+            yield pd.DataFrame(out, columns=["item_id", "doc_id", "h", "start", "end", "share"])
 
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
-    """(item_id, doc_id, start, end, share): stretches of documents that hold at least ``share`` of an item.
-
-    Items and documents with null text, or without letters and digits, give no rows. The items are held-out
-    test material of bounded size; they are read in blocks, so no block's automaton exceeds its bound.
-    """
+def _spans(documents: DataFrame, items: DataFrame, share: float) -> DataFrame:
+    """Leaks with ``h``, the hash of the text they stand in, since ids may repeat."""
     rows = [(r.item_id, normal(r.text)) for r in items.select("item_id", "text").filter("item_id is not null and text is not null").dropDuplicates().toLocalIterator()]
     blocks: list[list[tuple[int, str]]] = [[]]
     size = 0
@@ -246,33 +334,50 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE) -> DataF
             size = 0
         blocks[-1].append((i, t))
         size += len(t)
-    docs = documents.select("doc_id", "text").filter("text is not null")
+    docs = documents.select("doc_id", F.xxhash64("text").alias("h"), "text").filter("text is not null")
     out = None
     for block in blocks:
-        one = docs.mapInPandas(_read_block([i for i, _ in block], [t for _, t in block], share), "item_id long, doc_id long, start long, end long, share double")
+        one = docs.mapInPandas(_read_block([i for i, _ in block], [t for _, t in block], share), "item_id long, doc_id long, h long, start long, end long, share double")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
+    """(item_id, doc_id, start, end, share): stretches of documents that hold at least ``share`` of an item.
+
+    Items and documents with null text, or without letters and digits, give no rows. The items are held-out
+    test material of bounded size; they are read in blocks, so no block's automaton exceeds its bound.
+    """
+    return _spans(documents, items, share).drop("h")
+
+
 def leaked_pairs(documents: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """(item_id, doc_id) of all leaks."""
     return leaks(documents, items, share).select("item_id", "doc_id").distinct()
 
 
 def without_leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, most_removed: float = 0.8) -> DataFrame:
-    """(doc_id, text, n_spans): leaked documents without their leaked spans; null text where more than ``most_removed`` would go."""
-    spans = leaks(documents, items, share).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    """(doc_id, text, n_spans): every document without its leaked spans; null text where more than ``most_removed`` would go.
+
+    Documents without a leak keep their text, with 0 spans; null texts stay null. Repeated rows stay.
+    """
+    docs = documents.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    spans = _spans(documents, items, share).select(F.xxhash64("doc_id", "h").alias("k"), "start", "end").distinct()
+    spans = spans.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    both = docs.withColumn("k", F.xxhash64("doc_id", "h")).join(spans, "k", "left")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            out = []
-            for doc, text, sp in zip(pdf["doc_id"], pdf["text"], pdf["spans"]):
-                kept, at = [], 0
+            texts, counts = [], []
+            for text, sp in zip(pdf["text"], pdf["spans"]):
+                kept, at, n = [], 0, 0
                 for s in sp:
                     kept.append(text[at : max(at, s["start"])])
-                    at = max(at, s["end"])
+                    at, n = max(at, s["end"]), n + 1
                 rest = "".join(kept) + text[at:]
-                out.append((doc, rest if len(rest) >= (1 - most_removed) * len(text) else None, len(sp)))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "n_spans"])
+                texts.append(rest if len(rest) >= (1 - most_removed) * len(text) else None)
+                counts.append(n)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": pd.Series(texts, dtype=object), "n_spans": counts})
 
-    return documents.select("doc_id", "text").join(spans, "doc_id").mapInPandas(run, "doc_id long, text string, n_spans int")
+    cleaned = both.filter("spans is not null").select("doc_id", "text", "spans").mapInPandas(run, "doc_id long, text string, n_spans int")
+    return cleaned.unionByName(both.filter("spans is null").select("doc_id", "text", F.lit(0).alias("n_spans")))
