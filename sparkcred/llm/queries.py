@@ -25,6 +25,7 @@ def queries():
         "p4_found": lambda s, d: new_batches.known_articles(_news(s, d)),
         "p4_articles": lambda s, d: new_batches.article_ids(_news(s, d)),
         "p5_found": lambda s, d: repeated_lines.repeated_lines(_news(s, d)),
+        "p5_blocks": lambda s, d: repeated_lines.repeated_blocks(_news(s, d)),
         "p5_clean": lambda s, d: repeated_lines.without_repeated(_news(s, d)),
         "p6_found": lambda s, d: boilerplate.boilerplate_lines(_news(s, d)),
         "p6_body": lambda s, d: boilerplate.bodies(_news(s, d)),

@@ -1,15 +1,18 @@
 """Problem 5: lines repeated across one source's documents.
 
-Each record is a sequence of line identifiers. Over the concatenated sequences of one source the
-suffixes are put in order, common prefixes of neighbours give repeated blocks, and blocks that span
-enough documents are deleted. Only lines that themselves span enough documents can be part of such a
-block, so suffixes start and go on only over those; that shrinks the array without losing a block.
+Each record is a sequence of line identifiers, and every line of it starts a suffix. The suffixes of all
+records stand in one global order, source first: a distributed suffix array, cut into ranges of equal size
+with a hash of the record as last key, so a line in a third of all records fills many ranges and not one
+task. Neighbours' common prefixes give the intervals of repeated blocks; an interval that goes on beyond
+its range is summed over the ranges it touches. A line is deleted if its suffix starts with a block that
+spans enough records.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,119 +21,161 @@ from sparkcred.session import cut
 
 #: A block is excessive from this many records of its media on.
 LEAST_RECORDS = 8
-#: Lines of a suffix that are compared; longer blocks are covered by overlapping ones.
+#: Lines of a suffix that are compared; longer blocks are covered by overlapping ones, so no line is lost.
 BLOCK_LINES = 16
 
 
 def line_ids(news: DataFrame) -> DataFrame:
-    """(doc, id, media, ids): per record the 64-bit identifiers of its lines, null for lines without letters.
+    """(id, h, media, ids): per record the 64-bit identifiers of its lines, null for lines without letters.
 
-    A line's identity is its letters alone, ignoring case. ``doc`` tells repeated rows apart.
+    A line's identity is its letters alone, ignoring case. ``h`` stands for media and content.
     """
     letters = lambda x: F.lower(F.upper(F.regexp_replace(x, r"[^\p{L}]+", "")))
     ids = F.transform(F.split("content", "\n", -1), lambda x: F.when(letters(x) != "", F.xxhash64(letters(x))))
     media = F.trim("media")
-    return news.filter(F.col("content").isNotNull() & (media != "")).select(F.monotonically_increasing_id().alias("doc"), "id", media.alias("media"), ids.alias("ids"))
-
-
-def frequent_lines(docs: DataFrame, least: int = LEAST_RECORDS) -> DataFrame:
-    """(media, line, records) of lines in at least ``least`` records; counts combine before the shuffle."""
-    seen = docs.select("doc", "media", F.explode(F.array_distinct(F.filter("ids", lambda x: x.isNotNull()))).alias("line"))
-    return seen.groupBy("media", "line").agg(F.count("*").alias("records")).filter(F.col("records") >= least)
+    return news.filter(F.col("content").isNotNull() & (media != "")).select("id", F.xxhash64("media", "content").alias("h"), media.alias("media"), ids.alias("ids"))
+
+
+def fresh_from(line: list[int]) -> list[int]:
+    """For each suffix the longest prefix it shares with an earlier suffix of its record; longer prefixes count the record anew."""
+    out = [0] * len(line)
+    if len(set(line)) < len(line):
+        for i in range(len(line)):
+            for j in range(i):
+                if line[i] == line[j]:
+                    k = 1
+                    while k < BLOCK_LINES and i + k < len(line) and line[i + k] == line[j + k]:
+                        k += 1
+                    out[i] = max(out[i], k)
+    return out
 
 
 def _suffixes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Suffixes of each record over runs of adjacent frequent lines; first1 and first2 count a record once."""
     for pdf in parts:
-        out = []
-        for media, at, line in zip(pdf["media"], pdf["at"], pdf["lines"]):
-            at, line, seen = list(at), list(line), set()
-            for i in range(len(at)):
-                j = i + 1
-                while j < len(at) and j - i < BLOCK_LINES and at[j] == at[j - 1] + 1:
-                    j += 1
-                one, two = line[i], tuple(line[i : min(j, i + 2)])
-                out.append((media, one, line[i:j], int(one not in seen), int(len(two) > 1 and two not in seen)))
-                seen.update((one, two))
-        yield pd.DataFrame(out, columns=["media", "first", "suffix", "first1", "first2"])
-
-
-def lcp_intervals(rows: list[tuple[tuple, int]], least: int) -> list[tuple[tuple, int]]:
-    """Repeated prefixes of sorted, counted suffixes: each interval of common prefixes with its count, if that reaches ``least``."""
-    total = [0]
-    for _, n in rows:
-        total.append(total[-1] + n)
-    out: list[tuple[tuple, int]] = []
-
-    def report(depth: int, left: int, right: int) -> None:
-        if depth and total[right + 1] - total[left] >= least:
-            out.append((rows[left][0][:depth], total[right + 1] - total[left]))
-
-    stack: list[tuple[int, int]] = []
-    for i in range(len(rows)):
-        here = rows[i][0]
-        after = rows[i + 1][0] if i + 1 < len(rows) else ()
-        lcp = 0
-        while lcp < min(len(here), len(after)) and here[lcp] == after[lcp]:
-            lcp += 1
-        if lcp < len(here):
-            report(len(here), i, i)
-        left = i
-        while stack and stack[-1][0] > lcp:
-            depth, left = stack.pop()
-            report(depth, left, i)
-        if lcp and (not stack or stack[-1][0] < lcp):
-            stack.append((lcp, left))
-    return out
-
-
-def _longer_blocks(least: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (media, _), g in pdf.groupby(["media", "first"], sort=False):
-            rows = sorted(zip(map(tuple, g["suffix"]), g["n2"].tolist()))
-            out += [(media, list(block), n) for block, n in lcp_intervals(rows, least) if len(block) > 1]
-        return pd.DataFrame(out, columns=["media", "block", "records"])
+        ids, hs, ats, lines, shared = [], [], [], [], []
+        for i, h, source, line in zip(pdf["id"], pdf["h"], pdf["source"], pdf["ids"]):
+            at = np.flatnonzero(~pd.isna(line))
+            own = [source, *(int(line[k]) for k in at)]
+            ids += [i] * len(at)
+            hs += [h] * len(at)
+            ats.append(at)
+            lines += [own[:1] + own[k : k + BLOCK_LINES] for k in range(1, len(own))]
+            shared += fresh_from(own[1:])
+        at = np.concatenate([*ats, np.zeros(0, "int64")]).astype("int32")
+        yield pd.DataFrame({"id": pd.array(ids, "Int64"), "h": np.array(hs, "int64"), "at": at, "suffix": pd.Series(lines, dtype=object), "shared": np.array(shared, "int32")})
+
+
+class Range:
+    """One range of the suffix array: rows in order, block counts per depth."""
+
+    def __init__(self, suffix: list, shared: np.ndarray):
+        size = np.array([len(x) for x in suffix], "int64")
+        self.n, self.depths = len(size), int(size.max()) - 1 if len(size) else 0
+        self.rows = np.zeros((self.n, self.depths + 1), "int64")
+        if self.n:
+            self.rows[np.arange(self.depths + 1)[None] < size[:, None]] = np.concatenate(suffix)
+        self.size, self.shared = size - 1, shared
+        both = np.minimum(size[1:], size[:-1]) if self.n else size
+        same = (self.rows[1:] == self.rows[:-1]) & (np.arange(self.depths + 1)[None] < both[:, None])
+        self.lcp = np.cumprod(same, axis=1).sum(axis=1) - 1 if self.n else size
+
+    def intervals(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first rows, records) of the runs of suffixes that share a block of so many lines; rows shorter than it are runs of 0."""
+        first = np.flatnonzero(np.r_[True, self.lcp < depth])
+        return first, np.add.reduceat(((self.size >= depth) & (self.shared < depth)).astype("int64"), first)
+
+    def block(self, row: int, depth: int) -> tuple[int, ...]:
+        """Source and lines."""
+        return tuple(self.rows[row, : depth + 1].tolist())
+
+    def edges(self) -> Iterator[tuple[tuple[int, ...], int]]:
+        """Blocks of the first and last row, which may go on in other ranges, with their records here."""
+        for depth in range(1, self.depths + 1):
+            first, n = self.intervals(depth)
+            for k in {0, len(first) - 1}:
+                if n[k] or self.size[first[k]] >= depth:
+                    yield self.block(first[k], depth), int(n[k])
+
+    def counted(self, edges: dict[tuple[int, ...], int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(depth, first rows, records) with the sums over all ranges."""
+        for depth in range(1, self.depths + 1):
+            first, n = self.intervals(depth)
+            for k in {0, len(first) - 1}:
+                n[k] = edges.get(self.block(first[k], depth), n[k]) if self.size[first[k]] >= depth else 0
+            yield depth, first, n
+
+    def reach(self, edges: dict, least: int) -> np.ndarray:
+        """For each row the lines of the longest block of enough records its suffix starts with."""
+        out = np.zeros(self.n, "int32")
+        for depth, first, n in self.counted(edges):
+            often = np.repeat(n >= least, np.diff(np.append(first, self.n)))
+            out[often & (self.size >= depth)] = depth
+        return out
+
+    def blocks(self, edges: dict, least: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        """Blocks of enough records that do not go on alike in all their occurrences here."""
+        for depth, first, n in self.counted(edges):
+            last = np.append(first[1:], self.n) - 1
+            for k in np.flatnonzero(n >= least):
+                inner = self.lcp[first[k] : last[k]]
+                if (self.size[first[k]] == depth) or (inner == depth).any() or first[k] == last[k] and depth == self.size[first[k]]:
+                    yield self.block(first[k], depth), int(n[k])
+
+
+def _ranges(make, columns: list[str]):
+    """Apply ``make(pdf, Range)`` to each partition of the suffix array as a whole."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = [p for p in parts if len(p)]
+        if every:
+            pdf = pd.concat(every, ignore_index=True)
+            yield pd.DataFrame(make(pdf, Range(pdf["suffix"].tolist(), pdf["shared"].to_numpy())), columns=columns)
 
     return run
 
 
-def blocks_of(kept: DataFrame, least: int) -> DataFrame:
-    """(media, block, records): the repeated blocks in the suffix array of each media's frequent lines.
+class SuffixArray:
+    """The suffixes of all records in order, and the records of the blocks that cross ranges.
 
-    Equal suffixes are counted before they are ordered. The intervals of one common line are counted
-    with a map-side combine, so a line in a third of all records is no hot bucket; longer intervals are
-    found by sorting the suffixes that share their first two lines.
+    Per range at most two blocks a depth reach the driver.
     """
-    suffixes = kept.select("media", "at", "lines").mapInPandas(_suffixes, "media string, first long, suffix array<long>, first1 int, first2 int")
-    counted = suffixes.groupBy("media", "first", "suffix").agg(F.sum("first1").alias("n1"), F.sum("first2").alias("n2"))
-    one = counted.groupBy("media", "first").agg(F.sum("n1").alias("records")).filter(F.col("records") >= least)
-    bucket = F.pmod(F.xxhash64("media", "first", F.get("suffix", F.lit(1))), F.lit(1024))
-    longer = (
-        counted.filter(F.size("suffix") > 1).withColumn("bucket", bucket).select("bucket", "media", "first", "suffix", "n2")
-        .groupBy("bucket").applyInPandas(_longer_blocks(least), "media string, block array<long>, records long")
-    )
-    return one.select("media", F.array("first").alias("block"), "records").unionByName(longer)
 
+    def __init__(self, docs: DataFrame):
+        rows = docs.select("id", "h", F.xxhash64("media").alias("source"), "ids").mapInPandas(_suffixes, "id long, h long, at int, suffix array<long>, shared int")
+        order = [F.col("suffix"), F.xxhash64("id", "at")]
+        self.rows = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order))
+        edges = self.rows.select("suffix", "shared").mapInPandas(_ranges(lambda _, r: [(list(b), n) for b, n in r.edges()], ["block", "n"]), "block array<long>, n long")
+        self.edges: dict[tuple[int, ...], int] = {}
+        for r in edges.collect():
+            self.edges[tuple(r["block"])] = self.edges.get(tuple(r["block"]), 0) + r["n"]
 
-def repeated_blocks(news: DataFrame, least: int = LEAST_RECORDS) -> DataFrame:
-    """(media, block, records): blocks of line identifiers repeated in at least ``least`` records of a media."""
-    return blocks_of(_kept(line_ids(news), least), least)
+    def marks(self, least: int) -> DataFrame:
+        """(id, h, at, reach): lines that start a block of enough records, with its length."""
+        edges = self.edges
+
+        def make(pdf: pd.DataFrame, r: Range) -> pd.DataFrame:
+            reach = r.reach(edges, least)
+            return pdf.assign(reach=reach)[reach > 0]
 
+        cols = ["id", "h", "at", "reach"]
+        return self.rows.mapInPandas(_ranges(make, cols), "id long, h long, at int, reach int")
 
-def _kept(docs: DataFrame, least: int) -> DataFrame:
-    """Per record the positions and identifiers of its frequent lines, in order."""
-    at = docs.select("doc", "id", "media", F.posexplode("ids").alias("at", "line")).filter("line is not null")
-    hit = at.join(frequent_lines(docs, least).select("media", "line"), ["media", "line"], "left_semi")
-    pairs = F.array_sort(F.collect_list(F.struct("at", "line")))
-    return hit.groupBy("doc", "id", "media").agg(pairs.alias("p")).select("doc", "id", "media", F.col("p.at").alias("at"), F.col("p.line").alias("lines"))
+    def blocks(self, least: int) -> DataFrame:
+        """(source, block, records), each block once."""
+        edges = self.edges
+        found = self.rows.select("suffix", "shared").mapInPandas(_ranges(lambda _, r: [(b[0], list(b[1:]), n) for b, n in r.blocks(edges, least)], ["source", "block", "records"]), "source long, block array<long>, records long")
+        return found.distinct()
 
 
-def _covered(kept: DataFrame, least: int) -> DataFrame:
-    """(doc, id, at): positions covered by a repeated block."""
-    lines = blocks_of(kept, least).select("media", F.explode("block").alias("line")).distinct()
-    at = kept.select("doc", "id", "media", F.explode(F.arrays_zip("at", "lines")).alias("p")).select("doc", "id", "media", F.col("p.at").alias("at"), F.col("p.lines").alias("line"))
-    return at.join(lines, ["media", "line"], "left_semi").select("doc", "id", "at")
+def repeated_blocks(news: DataFrame, least: int = LEAST_RECORDS) -> DataFrame:
+    """(media, block, records): blocks of line identifiers repeated in at least ``least`` records of a media.
+
+    Blocks of more than BLOCK_LINES lines are reported by their first lines. Records with null or blank
+    media or null content have none.
+    """
+    docs = line_ids(news)
+    names = docs.select("media").distinct().select("media", F.xxhash64("media").alias("source"))
+    return SuffixArray(docs).blocks(least).join(names, "source").select("media", "block", "records")
 
 
 def repeated_lines(news: DataFrame, least: int = LEAST_RECORDS) -> DataFrame:
@@ -139,22 +184,22 @@ def repeated_lines(news: DataFrame, least: int = LEAST_RECORDS) -> DataFrame:
     A block may be a single line. Records with null or blank media or null content, and lines without
     letters, give no rows; repeated rows are records of their own.
     """
-    return _covered(cut(_kept(line_ids(news), least)), least).select("id", (F.col("at") + 1).cast("int").alias("line_no"))
+    return SuffixArray(line_ids(news)).marks(least).select("id", (F.col("at") + 1).alias("line_no"))
 
 
 def without_repeated(news: DataFrame, least: int = LEAST_RECORDS) -> DataFrame:
-    """(id, content, n_removed): each record with media or without, its repeated lines deleted.
+    """(id, content, n_removed, n_blocks): each record with media or without, its repeated blocks deleted.
 
     Null content stays null; records without media keep their content.
     """
-    news = cut(news.select(F.monotonically_increasing_id().alias("doc"), "id", "media", "content"))
-    letters = lambda x: F.lower(F.upper(F.regexp_replace(x, r"[^\p{L}]+", "")))
-    ids = F.transform(F.split("content", "\n", -1), lambda x: F.when(letters(x) != "", F.xxhash64(letters(x))))
-    docs = news.filter(F.col("content").isNotNull() & (F.trim("media") != "")).select("doc", "id", F.trim("media").alias("media"), ids.alias("ids"))
-    kept = _covered(cut(_kept(docs, least)), least).groupBy("doc").agg(F.collect_list("at").alias("at"))
     lines = F.split("content", "\n", -1)
-    return news.join(kept, "doc", "left").select(
+    # a block that goes on with the next line is one with it; equal records of a media have equal marks
+    marks = SuffixArray(line_ids(news)).marks(least).select("h", "at", "reach").distinct()
+    found = marks.groupBy("h").agg(F.collect_list("at").alias("at"), F.count(F.when(F.col("reach") == 1, 1)).cast("int").alias("n_blocks"))
+    rows = news.select("id", "content", F.when(F.trim("media") != "", F.xxhash64("media", "content")).alias("h"))
+    return rows.join(found, "h", "left").select(
         "id",
         F.when(F.col("at").isNull(), F.col("content")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("at", i.cast("int"))), "\n")).alias("content"),
         F.coalesce(F.size("at"), F.lit(0)).alias("n_removed"),
+        F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"),
     )

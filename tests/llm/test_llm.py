@@ -94,20 +94,27 @@ def test_repeated_lines(spark):
     assert clean[5].content == "\n".join(x for n, x in enumerate(rows[5][1]["content"].split("\n"), 1) if (5, n) not in found)
 
 
-def test_lcp_intervals_against_all_prefixes():
+def test_ranges_of_suffixes_against_all_prefixes():
     rng = random.Random(2)
-    counts = collections.Counter(tuple(rng.choice("ab") for _ in range(rng.randint(1, 6))) for _ in range(200))
-    rows = sorted(counts.items())
-    prefixes = collections.Counter()
-    for s, n in rows:
-        for k in range(1, len(s) + 1):
-            prefixes[s[:k]] += n
-    got = dict(repeated_lines.lcp_intervals(rows, 10))
-    assert all(prefixes[p] == n for p, n in got.items())
+    records = [[1, *(rng.choice((5, 6)) for _ in range(rng.randint(1, 6)))] for _ in range(60)]
+    prefixes, rows = collections.Counter(), []
+    for r in records:
+        own = r[1:]
+        prefixes.update({(1, *own[i:j]) for i in range(len(own)) for j in range(i + 1, len(own) + 1)})
+        rows += [([1, *own[i:]], n) for i, n in enumerate(repeated_lines.fresh_from(own))]
+    rows.sort()
+    ranges = [repeated_lines.Range([s for s, _ in part], np.array([n for _, n in part])) for part in (rows[:40], rows[40:41], rows[41:90], rows[90:])]
+    edges = collections.Counter()
+    for r in ranges:
+        for block, n in r.edges():
+            edges[block] += n
+    got = {b: n for r in ranges for b, n in r.blocks(edges, 10)}
+    assert got and all(prefixes[b] == n for b, n in got.items())
     # every frequent prefix is one of the blocks or goes on in all its occurrences
-    for p, n in prefixes.items():
-        if n >= 10 and p not in got:
-            assert any(prefixes[p + (c,)] == n for c in "ab")
+    assert all(p in got or any(prefixes[p + (c,)] == n for c in (5, 6)) for p, n in prefixes.items() if n >= 10)
+    reach = np.concatenate([r.reach(edges, 10) for r in ranges])
+    for (suffix, _), k in zip(rows, reach):
+        assert k == max([d for d in range(1, len(suffix)) if prefixes[tuple(suffix[: d + 1])] >= 10], default=0)
 
 
 # ------------------------------------------------------------------------------------------------ problem 3
