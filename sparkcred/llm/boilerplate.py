@@ -1,7 +1,7 @@
 """Problem 6: page boilerplate mixed with main content.
 
-Frequent lines of a host and the words of open lines decide, both fitted by ``pages``. Equivalence classes
-of line tokens are only listed (``templates``); they are not nested and do not reach the other results.
+Equivalence-class template deduction, fitted by ``pages``: lines with equal occurrence vectors over the pages
+of a host are classes, valid classes nest into the host's template, and what is left fills its slots.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcred.llm.pages import Marker, constant_lines, pages_of
+from sparkcred.llm.pages import Marker, pages_of
 
 
 def boilerplate_lines(news: DataFrame, most_keys: int | None = None) -> DataFrame:
@@ -43,10 +43,14 @@ def bodies(news: DataFrame, *more: str) -> DataFrame:
 
 
 def templates(news: DataFrame) -> DataFrame:
-    """Equivalence classes of constant lines: (host, vector, n_lines, pages, n_sentences).
+    """The template of each host, one row per class: (host, cls, parent, n_lines, pages, n_sentences, n_page_slots).
 
-    Lines of a host with the same occurrence vector are one class; classes are not nested.
+    ``parent`` is the class between whose lines it stands, 0 for the page itself. Lines of a class of their
+    own come one row each. ``n_page_slots`` counts lines after which the page goes on.
     """
-    return constant_lines(pages_of(news)).groupBy("host", "vector").agg(
-        F.count("*").cast("int").alias("n_lines"), F.max("pages").alias("pages"), F.sum(F.col("sentence").cast("int")).cast("int").alias("n_sentences")
-    )
+    t = Marker(pages_of(news)).template
+    name = F.when(F.col("cls") != 0, F.col("cls")).otherwise(F.xxhash64("host", "key"))
+    return t.groupBy("host", name.alias("cls")).agg(
+        F.max("parent").alias("parent"), F.count("*").cast("int").alias("n_lines"), F.max("pages").alias("pages"),
+        F.sum(F.col("sentence").cast("int")).cast("int").alias("n_sentences"), F.sum("slot").cast("int").alias("n_page_slots"),
+    )

@@ -18,12 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcred.llm.pages import Marker, pages_of, split_lines
+from sparkcred.llm.pages import Marker, known_of, pages_of, split_lines
 
 LANGUAGES = ("ko", "en", "ja", "zh", "es", "fr", "de")
 ORDER = 4
 #: The models are fitted on at most this many labelled texts and characters a language, none longer than FIT_LONGEST.
-FIT_TEXTS, FIT_CHARS, FIT_LONGEST, FIT_FOLDS = 600, 250_000, 20_000, 4
+FIT_TEXTS, FIT_CHARS, FIT_LONGEST, FIT_FOLDS = 600, 250_000, 20_000, 5
+#: Cross-entropy per character up to which a model explains a line whose own language has no other text.
+EXPLAINED = 2.5
 #: A line is in another language than its record if that language's cross-entropy per character is lower by what
 #: all but this share of held-out lines show against any other language, and by LEAST_GAP at least; over the line
 #: that must come to LINE_ODDS. Lines under LEAST_LETTERS letters are no evidence.
@@ -78,6 +80,16 @@ def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, (keys[at] == x) if len(keys) else np.zeros(len(x), bool)
 
 
+def _discounts(num: np.ndarray) -> np.ndarray:
+    """What is taken from counts of 1, 2 and more, from the counts of counts."""
+    n = np.array([(num == k).sum() for k in (1, 2, 3, 4)], "float64")
+    if not n[:2].all():
+        return np.full(3, 0.5)
+    y = n[0] / (n[0] + 2 * n[1])
+    d = np.array([k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else k * y for k in (1, 2, 3)])
+    return np.clip(d, 0.05, [0.95, 1.9, 2.85])
+
+
 class KneserNey:
     """Models of all languages over shared sorted n-gram arrays."""
 
@@ -104,13 +116,12 @@ class KneserNey:
             prob, back = np.zeros((len(keys), n_lang)), np.ones((len(ctxs), n_lang))
             for j, per in enumerate(counts):
                 grams, num = per[n]
-                ones, twos = (num == 1).sum(), (num == 2).sum()
-                d = ones / max(1, ones + 2 * twos) or 0.5
+                d = _discounts(num)[np.minimum(num, 3) - 1]
                 at = np.searchsorted(ctxs, grams >> np.uint64(16)) if n > 1 else np.zeros(len(grams), int)
                 total = np.bincount(at, weights=num, minlength=len(ctxs))
-                kinds = np.bincount(at, minlength=len(ctxs))
+                taken = np.bincount(at, weights=d, minlength=len(ctxs))
                 seen = total > 0
-                back[seen, j] = d * kinds[seen] / total[seen]
+                back[seen, j] = taken[seen] / total[seen]
                 prob[np.searchsorted(keys, grams), j] = (num - d) / total[at]
             below = np.full((len(keys), n_lang), 1.0 / (vocab + 1)) if n == 1 else lower(keys & np.uint64((1 << 16 * (n - 1)) - 1))
             at = np.searchsorted(ctxs, keys >> np.uint64(16)) if n > 1 else np.zeros(len(keys), int)
@@ -197,7 +208,7 @@ def labelled_sample(documents: DataFrame) -> dict[str, list[str]]:
     A language gives the documents whose hash lies under a threshold set by its count, so what reaches the
     driver is at most about FIT_TEXTS texts of FIT_LONGEST characters a language, whatever the corpus.
     """
-    h = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 40))
+    h = F.xxhash64("doc_id", F.lit("fit"))
     ok = documents.select(F.col("text"), label_code(F.col("lang")).alias("lang"), h.alias("h"))
     ok = ok.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= FIT_LONGEST))
     sizes = {r["lang"]: r["n"] for r in ok.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -205,7 +216,7 @@ def labelled_sample(documents: DataFrame) -> dict[str, list[str]]:
     if not sizes:
         return out
     reach = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, 1.25 * FIT_TEXTS / n) * (1 << 40)))])
-    for r in sorted(ok.filter(F.col("h") < F.try_element_at(reach, F.col("lang"))).collect(), key=lambda r: (r["h"], r["text"])):
+    for r in sorted(ok.filter(F.pmod("h", F.lit(1 << 40)) < F.try_element_at(reach, F.col("lang"))).collect(), key=lambda r: (r["h"], r["text"])):
         own = out.setdefault(r["lang"], [])
         if len(own) < FIT_TEXTS and sum(map(len, own)) < FIT_CHARS:
             own.append(r["text"])
@@ -227,18 +238,20 @@ def fit(documents: DataFrame) -> KneserNey:
         held = []
         for fold in range(FIT_FOLDS):
             part = {k: [x for f, x in v if f != fold] for k, v in lines.items()}
-            rest = [(k, x) for k, v in lines.items() for f, x in v if f == fold and part[k]]
-            score, _ = KneserNey(part).scores([x for _, x in rest]) if rest else (np.zeros((0, 1)), None)
-            agreed = [kx for kx, s in zip(rest, score) if LANGUAGES[int(s.argmax())] == kx[0]]
+            rest = [(k, x) for k, v in lines.items() for f, x in v if f == fold]
+            judge = KneserNey(part)
+            score, size = judge.scores([x for _, x in rest]) if rest else (np.zeros((0, len(LANGUAGES))), np.zeros(0))
+            entropy = judge.entropies(score, size)
+            # a label is denied by a clear gap; where the language has no other text, by one that explains the line well
+            agreed = [(k, x) for (k, x), h in zip(rest, entropy) if (h[LANGUAGES.index(k)] - h.min() <= LEAST_GAP if part[k] else h.min() > EXPLAINED)]
             for k, x in agreed:
                 kept[k].append((fold, x))
-            if fold == 0:
+            if fold == FIT_FOLDS - 1:
                 held = agreed
         lines = {k: kept[k] or v for k, v in lines.items()}
-    tuned = KneserNey({k: [x for f, x in v if f] or [x for _, x in v] for k, v in lines.items()})
-    tuned.calibrate(held)
-    model = KneserNey({k: [x for _, x in v] for k, v in lines.items()})
-    model.temperature, model.limit, model.gap = tuned.temperature, tuned.limit, tuned.gap
+    # the model that is used has not seen the lines its limits are set by
+    model = KneserNey({k: [x for f, x in v if f < FIT_FOLDS - 1] or [x for _, x in v] for k, v in lines.items()})
+    model.calibrate(held)
     return model
 
 
@@ -300,7 +313,7 @@ def _tagged(news: DataFrame, documents: DataFrame, make_rows, schema: str) -> Da
                 rows = []
                 for row in pdf.iloc[i : i + 1000].itertuples(index=False):
                     lines = split_lines(row.content)
-                    known = (set() if row.known is None else set(row.known)) if wide else None
+                    known = known_of(row.known) if wide else None
                     rows.append((row, lines, m.marks(row.host, lines, known)))
                 yield pd.DataFrame([x for t in tag(rows) for x in make_rows(k, *t)], columns=names)
 
