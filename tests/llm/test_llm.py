@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkcred.llm import boilerplate, components, language, leakage, mixing, near_duplicates, new_batches, pages, repeated_lines, small_world, splitting, tokenizer, truncation
+from sparkcred.llm import boilerplate, components, history, language, leakage, mixing, near_duplicates, new_batches, pages, repeated_lines, small_world, splitting, tokenizer, truncation
 from sparkcred.session import table
 
 DATA = "/root/testdata/sf0.001"
@@ -487,3 +487,22 @@ def test_templated_headlines_fill_no_beam(spark):
         "id": range(len(keys)), "batch_no": 0, "title_key": keys, "bits": [b.tobytes() for b in bits], "rings": list(new_batches.rings(route)[:, 0]), "part": 0, "home": 0,
     }))
     assert set(zip(got["a"], got["b"])) >= {(k, 600 + n) for n, k in enumerate(pick)}
+
+
+def test_history_batch_by_batch_equals_all_at_once(spark, tmp_path):
+    df = table(spark, DATA, "realtime_news").select("id", "title", "media", "url", F.least("batch_no", F.lit(3)).alias("batch_no"))
+    df = df.unionByName(spark.createDataFrame([(9_000_001, None, None, None, 2), (9_000_002, " ", "x", "", 3), (None, "t", "m", "u", 1)], df.schema)).withColumn("h", F.lit(1))
+    outlets = frozenset(r[0] for r in df.select(F.lower(F.trim("media"))).filter("media is not null and trim(media) <> ''").distinct().collect())
+    store = history.History(spark, str(tmp_path / "store"), segments=2, compact_every=2)
+    last = df.agg(F.max("batch_no")).first()[0]
+    for n in range(last + 1):
+        got = store.accept(df.filter(F.col("batch_no") == n), n, outlets)
+        if n == last:
+            again = pairs(got)
+            assert pairs(store.accept(df.filter(F.col("batch_no") == n), n, outlets)) == again  # a repeated attempt
+    whole = {(r.node, r.component) for r in new_batches.articles(df).collect()}
+    assert whole == {(r.node, r.component) for r in store.labels(last + 1).collect()} and whole
+    # merged shards hold what they replace
+    live = store.shards(last + 1)
+    assert live.groupBy("route", "segment", "part").count().agg(F.max("count")).first()[0] <= 2
+    assert store.accept(df.limit(0), last + 1, outlets).count() == 0
