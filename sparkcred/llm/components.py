@@ -12,7 +12,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node each node of ``links(a, b)`` is connected to.
 
     Labels combine before the shuffle, so a node in a third of all links is no hot key; every round's
-    labels go to a reliable checkpoint. An empty table gives an empty table.
+    labels go to a reliable checkpoint. Jumps halve the way to the smallest label, so 60 rounds reach far beyond
+    any table; labels that have not settled by then are an error. An empty table gives an empty table.
     """
     both = links.select("a", "b").filter("a is not null and b is not null and a <> b")
     edges = cut(both.union(both.select(F.col("b"), F.col("a"))).distinct())
@@ -25,5 +26,5 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         changed = step.filter("component <> old").limit(1).count()
         labels = step.select("node", "component")
         if not changed:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

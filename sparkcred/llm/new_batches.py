@@ -127,15 +127,52 @@ def title_bits(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(bits, axis=1).view("uint64"), route
 
 
-def _keys(known: frozenset[str]):
+#: Outlet names up to this number go to every task; beyond it the names a title may end with are joined.
+MOST_OUTLETS = 20_000
+
+
+def _keys(known: frozenset[str] | None):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            keys = [headline(t, m, known) for t, m in zip(pdf["title"], pdf["media"])]
+            names = [known] * len(pdf) if known is not None else [() if x is None else set(x) for x in pdf["names"]]
+            keys = [headline(t, m, k) for t, m, k in zip(pdf["title"], pdf["media"], names)]
             yield pd.DataFrame({"id": pdf["id"], "batch_no": pdf["batch_no"], "title_key": pd.Series([k if len(k) >= LEAST_TITLE else None for k in keys], dtype=object)})
 
     return run
 
 
+def _folded(name: str) -> str:
+    return unicodedata.normalize("NFKC", name).casefold()
+
+
+def _endings(title: str) -> list[str]:
+    """What a title may hold as the name of an outlet: every part between dashes, folded as in ``headline``."""
+    s = _folded(html.unescape(html.unescape(title)))
+    return list(dict.fromkeys(x.strip() for x in re.split(r"[-–—|｜\[\](){}【】〔〕［］（）]", s) if 0 < len(x.strip()) <= 40))
+
+
+def headlines(titles: DataFrame, outlets: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, batch_no, title_key) of the titles with enough letters, without tags, labels and the names of the outlets (m)."""
+    schema = "id long, batch_no int, title_key string"
+    few = outlets.limit((MOST_OUTLETS if most is None else most) + 1).collect()
+    if len(few) <= (MOST_OUTLETS if most is None else most):
+        return titles.mapInPandas(_keys(frozenset(_folded(r.m) for r in few)), schema).filter("title_key is not null")
+
+    def parts_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out = [(h, x) for h, t in zip(pdf["h"], pdf["title"]) for x in _endings(t)]
+            yield pd.DataFrame(out, columns=["h", "name"]).astype({"h": "int64"})
+
+    def folded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pd.DataFrame({"name": [_folded(x) for x in pdf["m"]]})
+
+    titles = titles.withColumn("h", F.xxhash64("title"))
+    names = titles.select("h", "title").distinct().mapInPandas(parts_of, "h long, name string")
+    found = names.join(outlets.mapInPandas(folded, "name string").distinct(), "name").groupBy("h").agg(F.collect_set("name").alias("names"))
+    return titles.join(found, "h", "left").drop("h").mapInPandas(_keys(None), schema).filter("title_key is not null")
+
+
 def _signed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in parts:
         bits, route = title_bits(list(pdf["title_key"]))
@@ -209,9 +246,7 @@ def articles(news: DataFrame) -> DataFrame:
     """(node, component) of every record that is the same article as another one, by address or headline."""
     base = news.filter("id is not null").select("id", F.coalesce("batch_no", F.lit(0)).cast("int").alias("batch_no"), "title", "media", url_key("url").alias("url_key"))
     outlets = base.select(F.lower(F.trim("media")).alias("m")).filter("m <> '' and m <> 'unknown'").distinct()
-    few = outlets.limit(20_001).collect()  # only to strip names; the own outlet is stripped in any case
-    known = frozenset(unicodedata.normalize("NFKC", r.m).casefold() for r in few) if len(few) <= 20_000 else frozenset()
-    titles = cut(base.filter("title is not null").select("id", "batch_no", "title", "media").mapInPandas(_keys(known), "id long, batch_no int, title_key string").filter("title_key is not null"))
+    titles = cut(headlines(base.filter("title is not null").select("id", "batch_no", "title", "media"), outlets))
     by_title = titles.groupBy("title_key").agg(F.min("id").alias("id"), F.min("batch_no").alias("batch_no"), F.count("*").alias("n"))
     by_title = cut(by_title)
     by_url = base.filter("url_key is not null").groupBy("url_key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("url_key", "a")

@@ -506,3 +506,10 @@ def test_history_batch_by_batch_equals_all_at_once(spark, tmp_path):
     live = store.shards(last + 1)
     assert live.groupBy("route", "segment", "part").count().agg(F.max("count")).first()[0] <= 2
     assert store.accept(df.limit(0), last + 1, outlets).count() == 0
+
+
+def test_outlet_names_by_join_equal_those_by_list(spark):
+    df = spark.createDataFrame([(1, 0, "Bridge opens early - The Post", "Other"), (2, 0, "Bridge opens - early - Nobody", "The Post"), (3, 1, "[New] Bridge opens early – the post (1)", None), (4, 1, "", "x")], "id long, batch_no int, title string, media string")
+    outlets = spark.createDataFrame([("the post",), ("other",)], "m string")
+    narrow, wide = (sorted(map(tuple, new_batches.headlines(df, outlets, most).collect())) for most in (10, 0))
+    assert narrow == wide and narrow[0][2] == "bridgeopensearly"
