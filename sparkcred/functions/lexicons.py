@@ -70,3 +70,7 @@ BODY_SELECTORS = ("#dic_area", "._article_body_contents", "#articleBodyContents"
 BODY_DROPS = ("script", "style", ".reporter_area", ".copyright", ".article-sns-group")
 LIST_CLASSES = ("type06_headline", "type06", "type02")
 UNKNOWN_PRESS = "알 수 없음"
+
+#: Short names of the weekdays from Monday on, and listing pages read by kind of view.
+WEEKDAYS = ("월", "화", "수", "목", "금", "토", "일")
+PAGE_DEPTH = {"crawl": 20, "main": 8, "section": 2}

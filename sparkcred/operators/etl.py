@@ -108,17 +108,19 @@ def _islands(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["p", "n", "label_key", "norm", "row", "grams", "first"])
 
 
-def _scan_island(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Keep a title unless it is too similar to the last kept one of its label."""
-    pdf = pdf.sort_values(["label_key", "norm", "row"], kind="stable")
-    kept, label, last = [], None, None
-    for lab, row, grams in zip(pdf["label_key"], pdf["row"], pdf["grams"]):
-        g = frozenset(grams)
-        drop = lab == label and bool(last) and _jaccard(g, last) >= L.TITLE_SIMILARITY - 1e-12
-        if not drop:
-            kept.append(row)
-            label, last = lab, g
-    return pd.DataFrame({"row": kept}).astype("int64")
+def _scan_islands(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keep a title unless it is too similar to the last kept one of its label; islands come whole and in order."""
+    island = label = last = None
+    for pdf in parts:
+        kept = []
+        for q, m, lab, row, grams in zip(pdf["q"], pdf["m"], pdf["label_key"], pdf["row"], pdf["grams"]):
+            g = frozenset(grams)
+            drop = island == (q, m) and lab == label and bool(last) and _jaccard(g, last) >= L.TITLE_SIMILARITY - 1e-12
+            island = (q, m)
+            if not drop:
+                kept.append(row)
+                label, last = lab, g
+        yield pd.DataFrame({"row": kept}).astype("int64")
 
 
 def near_dup_titles(df: DataFrame, order: str = "id") -> DataFrame:
@@ -144,19 +146,23 @@ def near_dup_titles(df: DataFrame, order: str = "id") -> DataFrame:
         target = joined[e.p] if e["last"] == 0 else (e.p, e["last"])
     same = marked.sparkSession.createDataFrame([(p, 0, q, m) for p, (q, m) in joined.items()] or [(-1, 0, -1, 0)], "p int, n int, q int, m int")
     islands = marked.join(F.broadcast(same), ["p", "n"], "left").withColumn("q", F.coalesce("q", "p")).withColumn("m", F.coalesce("m", "n"))  # one row a partition
-    kept = islands.select("q", "m", "label_key", "norm", "row", "grams").groupBy("q", "m").applyInPandas(_scan_island, "row long").unionByName(blank)
+    # an island of one title needs no scan
+    several = islands.groupBy("q", "m").agg(F.count("*").alias("c")).filter("c > 1").select("q", "m")
+    single = islands.join(several, ["q", "m"], "left_anti").select("row")
+    scan = islands.join(several, ["q", "m"], "left_semi").select("q", "m", "label_key", "norm", "row", "grams").repartition("q", "m").sortWithinPartitions("q", "m", "label_key", "norm", "row")
+    kept = scan.mapInPandas(_scan_islands, "row long").unionByName(single).unionByName(blank)
     return df.join(kept.withColumnRenamed("row", order), order, "left_semi")
 
 
-def listing_dedup(df: DataFrame, order: str = "id", most_rounds: int = 50) -> DataFrame:
+def listing_dedup(df: DataFrame, order: str = "id") -> DataFrame:
     """Rows kept one after the other: a row goes if its url or title was kept before.
 
     Every round settles the rows that come first for both their url and title, and drops those that
-    share either with a settled row; long chains of alternating keys take a round each.
+    share either with a settled row, until none is left; long chains of alternating keys take a round each.
     """
     left = cut(df.select(F.col(order).alias("o"), F.coalesce("url", F.lit("")).alias("u"), F.coalesce("title", F.lit("")).alias("t")))
     kept = None
-    for _ in range(most_rounds):
+    while True:  # every round settles the first row that is left
         fu, ft = left.groupBy("u").agg(F.min("o").alias("fu")), left.groupBy("t").agg(F.min("o").alias("ft"))
         now = cut(left.join(fu, "u").join(ft, "t").filter((F.col("o") == F.col("fu")) & (F.col("o") == F.col("ft"))).select("o", "u", "t"))
         kept = now if kept is None else kept.unionByName(now)
@@ -169,7 +175,7 @@ def listing_dedup(df: DataFrame, order: str = "id", most_rounds: int = 50) -> Da
 def undersample(df: DataFrame, key: str = "id") -> DataFrame:
     """Both labels cut to the size of the smaller one: label 1 by flag score, label 0 by seeded order."""
     score = F.when(F.col("label") == 1, -flag_score()).otherwise(F.lit(0))
-    order = ranked(df.filter("label in (0, 1)").withColumn("_s", score).withColumn("_h", T.seeded(key)), ["_s", "_h", key], ["label"], "_rank")
+    order = ranked(df.filter("label in (0, 1)").withColumn("_s", score).withColumn("_h", T.seeded(key)), ["_s", "_h", key], ["label"], "_rank", key)
     sizes = df.filter("label in (0, 1)").groupBy("label").agg(F.count("*").alias("n")).agg(F.when(F.count("*") == 2, F.min("n")).otherwise(0).alias("_target"))
     return order.crossJoin(F.broadcast(sizes)).filter("_rank <= _target").drop("_s", "_h", "_rank", "_target")  # one row
 
@@ -177,7 +183,7 @@ def undersample(df: DataFrame, key: str = "id") -> DataFrame:
 def balanced_subsets(df: DataFrame, size: int = 30_000, key: str = "id") -> DataFrame:
     """Rows with ``subset_no``: equal halves of both labels; a short tail joins the last subset, surplus rows go."""
     half = size // 2
-    order = ranked(df.filter("label in (0, 1)").withColumn("_h", T.seeded(key)), ["_h", key], ["label"], "_rank")
+    order = ranked(df.filter("label in (0, 1)").withColumn("_h", T.seeded(key)), ["_h", key], ["label"], "_rank", key)
     least = df.filter("label in (0, 1)").groupBy("label").agg(F.count("*").alias("n")).agg(F.when(F.count("*") == 2, F.min("n")).otherwise(0).alias("per"))
     full = F.floor(F.col("per") / half)
     rest = F.col("per") - full * half
@@ -213,6 +219,31 @@ def merged(old: DataFrame, new: DataFrame, order: str = "ord") -> DataFrame:
     return first_by(best, "title", "_o").drop("_o", "_src")
 
 
+def all_sources(*sources: DataFrame) -> DataFrame:
+    """Rows of several sources with the columns of the first, null where a source lacks one; ``source_no`` and ``ord`` keep their order.
+
+    Each source has ``ord``, its own order as text.
+    """
+    first, *rest = [s.withColumn("source_no", F.lit(n)) for n, s in enumerate(sources)]
+    for s in rest:
+        first = first.unionByName(s.select(*[F.col(c) if c in s.columns else F.lit(None).cast(first.schema[c].dataType).alias(c) for c in first.columns]))
+    return first
+
+
+def shared_dedup(df: DataFrame) -> DataFrame:
+    """Admitted rows of all sources, the first of each text by one set of keys shared by all."""
+    best = admitted(df).withColumn("_o", F.struct("source_no", "ord"))
+    return exact_dedup(best, "_o").drop("_o")
+
+
+def samples(df: DataFrame, key, most: int = 60) -> DataFrame:
+    """Rows of label 1 in seeded order, at most ``most``, with a summary of verdict and beginning of the content."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    summary = F.concat(F.when(text("verdict") != "", F.concat(F.lit("["), text("verdict"), F.lit("] "))).otherwise(""), F.substring(text("content"), 1, 200))
+    one = df.filter("label = 1").withColumn("_h", F.md5(F.concat(F.concat_ws("|", *[text(c) for c in key]), F.lit("|42"))))
+    return one.orderBy("_h").limit(most).withColumn("summary", summary).drop("_h")
+
+
 def not_cached(rows: DataFrame, cache: DataFrame, key: str = "text_key") -> DataFrame:
     """Rows whose content key is not in the cache yet."""
     return rows.join(cache.select(key).distinct(), key, "left_anti")

@@ -92,5 +92,21 @@ def soft_vote(df: DataFrame, weights: dict[str, float] = L.VOTE_WEIGHTS) -> Data
     return one.groupBy("key").agg(F.max("label").alias("label"), (F.sum(F.col("w") * F.col("score")) / F.sum("w")).alias("score"))
 
 
+def threshold_summary(df: DataFrame, thresholds: list[float], old: float = 0.5, by: str = "model") -> DataFrame:
+    """Per model the old and the best threshold, macro F1 and misses at both, and what the change gains."""
+    swept = sweep(df, sorted({*thresholds, old}), by)
+    at = lambda name: swept.select(by, F.col("threshold").alias(f"{name}_threshold"), F.col("macro_f1").alias(f"{name}_f1"), F.col("fn").alias(f"{name}_missed"))
+    new = at("new").join(best(swept, by).select(by, F.col("threshold").alias("new_threshold")), [by, "new_threshold"])
+    both = new.join(at("old").filter(F.col("old_threshold") == old), by)
+    return both.select(by, "old_threshold", "new_threshold", "old_f1", "new_f1", F.round(F.col("new_f1") - F.col("old_f1"), 6).alias("f1_gain"), "old_missed", "new_missed")
+
+
+def ranking(counts: DataFrame, by: str = "model") -> DataFrame:
+    """Models with their place by macro F1, ties by name; models are few, so one window holds them."""
+    place = F.row_number().over(Window.orderBy(F.desc("macro_f1"), by))
+    return metrics(counts, [by]).select(place.alias("place"), by, "macro_f1", "weighted_f1")
+
+
 def clipped_sigmoid(x, limit: float = 35.0):
+    """Probability of a margin, cut at the limit so that it neither overflows nor reaches 0 or 1."""
     return 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(limit)), F.lit(-limit))))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkcred.operators.ranking import ranked
@@ -19,8 +21,9 @@ def word_ngrams(tokens, n_max: int = 2, stopwords: tuple[str, ...] = ()):
     t = F.filter(tokens, lambda w: ~w.isin(*stopwords)) if stopwords else tokens
 
     def grams(n: int):
-        joined = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))
-        return F.when(F.size(t) >= n, joined).otherwise(F.array().cast("array<string>"))
+        # shifted copies put together: the tokens are made once a copy and not once a n-gram
+        size = F.greatest(F.size(t) - n + 1, F.lit(0))
+        return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, F.lit(" "), y)), [F.slice(t, F.lit(k), size) for k in range(1, n + 1)])
 
     return F.concat(t, *[grams(n) for n in range(2, n_max + 1)])
 
@@ -52,11 +55,12 @@ def document_frequencies(counts: DataFrame, n_docs: int, min_df: int = 1, max_df
 def tfidf(docs: DataFrame, key: str, terms: str, sublinear: bool = True, fit_on: DataFrame | None = None, **limits) -> DataFrame:
     """(key, term, weight), rows L2-normalised; idf = ln((1+n)/(1+df)) + 1, fitted on ``fit_on`` where given."""
     base = docs if fit_on is None else fit_on
-    counts = term_counts(docs, key, terms)
+    counts = cut(term_counts(docs, key, terms))  # read for the vocabulary, the norms and the weights
     fitted = counts if fit_on is None else term_counts(fit_on, key, terms)
     vocab = document_frequencies(fitted, base.count(), **limits)
     tf = (F.log(F.col("tf")) + 1) if sublinear else F.col("tf")
-    raw = counts.join(vocab.select("term", "idf"), "term").select("key", "term", (tf * F.col("idf")).alias("w"))
+    vocab = cut(vocab.select("term", "idf"))
+    raw = counts.join(maybe_broadcast(vocab, vocab.count(), 500_000), "term").select("key", "term", (tf * F.col("idf")).alias("w"))
     norm = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, "key").select("key", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
@@ -113,9 +117,3 @@ def vectors(weights: DataFrame, max_terms: int | None = None) -> tuple[DataFrame
     to_sparse = F.udf(lambda pairs: SparseVector(size, [(int(p["index"]), float(p["weight"])) for p in pairs]), VectorUDT())
     packed = weights.join(maybe_broadcast(index, size), "term").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("p"))
     return packed.select("key", to_sparse("p").alias("features")), index
-
-
-def running_share(scores: DataFrame, column: str) -> DataFrame:
-    """Terms with their cumulated share of the column's sum, from the highest down (a small report)."""
-    w = Window.orderBy(F.desc(column), "term")
-    return scores.withColumn("share", F.sum(column).over(w) / F.sum(column).over(Window.partitionBy()))

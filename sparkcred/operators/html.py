@@ -146,8 +146,8 @@ def bodies(pages: DataFrame, key: str = "url", html: str = "html") -> DataFrame:
     return pages.select(key, extract(html).alias("body"))
 
 
-def links(pages: DataFrame, key: str = "url", html: str = "html") -> DataFrame:
-    """(key, links): distinct absolute links of a page in their order."""
+def links(pages: DataFrame, key: str = "url", html: str = "html", more: tuple[str, ...] = ()) -> DataFrame:
+    """(key, links, more...): distinct absolute links of a page in their order."""
 
     def found(base: str | None, h: str | None) -> list[str]:
         hrefs = (n.attrs.get("href", "").strip() for n in parse(h).walk() if n.tag == "a")
@@ -157,7 +157,7 @@ def links(pages: DataFrame, key: str = "url", html: str = "html") -> DataFrame:
     def extract(u: pd.Series, s: pd.Series) -> pd.Series:
         return pd.Series([found(a, b) for a, b in zip(u, s)])
 
-    return pages.select(key, extract(key, html).alias("links"))
+    return pages.select(key, extract(key, html).alias("links"), *more)
 
 
 def absolute_links(html, base: str) -> F.Column:

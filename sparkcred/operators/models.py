@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.ml import Model
+from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes
+from pyspark.ml.feature import Binarizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,19 +15,28 @@ from sparkcred.operators import etl, evaluate, features
 from sparkcred.session import cut
 
 
-def training_rows(docs: DataFrame, key: str, tokens: str, label: str, k: int = 2000) -> DataFrame:
-    """(key, label, split, fold, features): TF-IDF of the terms with the highest chi-square.
+def training_rows(docs: DataFrame, key: str, tokens: str, label: str, k: int = 15_000, meta: list[str] | None = None) -> DataFrame:
+    """(key, label, split, fold, features): TF-IDF of the terms with the highest chi-square, and the ``meta`` columns.
 
-    The vocabulary, the weights' frequencies and the selection are fitted on the training part alone.
+    The vocabulary, the weights' frequencies, the selection and the scale of the meta columns (to 0..1) are
+    fitted on the training part alone.
     """
-    base = docs.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), F.col(tokens).alias("tokens"))
+    meta = meta or []
+    base = docs.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), F.col(tokens).alias("tokens"), *meta)
     base = cut(etl.kfold(etl.stratified_split(base, {"train": 0.8, "test": 0.2}, "key"), 3, "key"))
     train = base.filter("split = 'train'")
     weights = features.tfidf(base, "key", "tokens", fit_on=train, min_df=2)
     weights = cut(weights)
     top = features.top_terms(features.chi2(weights.join(train.select("key"), "key", "left_semi"), train), "chi2", k)
     vectors, _ = features.vectors(weights.join(F.broadcast(top.select("term")), "term", "left_semi"))  # k terms
-    return base.drop("tokens").join(vectors, "key")
+    rows = base.drop("tokens").join(vectors, "key")
+    if not meta:
+        return rows
+    reach = train.agg(*[F.max(c).alias(f"_{c}") for c in meta])
+    scaled = rows.crossJoin(F.broadcast(reach))  # one row
+    scaled = scaled.withColumns({c: F.least(F.coalesce(F.try_divide(F.col(c), F.col(f"_{c}")), F.lit(0.0)), F.lit(1.0)) for c in meta})
+    both = VectorAssembler(inputCols=["features", *meta], outputCol="_all").transform(scaled)
+    return both.select("key", "label", "split", "fold", F.col("_all").alias("features"))
 
 
 def balanced(rows: DataFrame) -> DataFrame:
@@ -44,11 +54,21 @@ def estimators(n_rows: int, c: float = 1.0) -> dict:
         "lr_l2": LogisticRegression(elasticNetParam=0.0, regParam=reg, standardization=False, maxIter=60),
         "nb_multinomial": NaiveBayes(modelType="multinomial", smoothing=0.5),
         "nb_complement": NaiveBayes(modelType="complement", smoothing=0.5),
+        "nb_bernoulli": Pipeline(stages=[Binarizer(inputCol="features", outputCol="there"), NaiveBayes(modelType="bernoulli", smoothing=0.5, featuresCol="there")]),
         "linear_svc": LinearSVC(regParam=reg, weightCol="weight", standardization=False, maxIter=40),
         "gbt": GBTClassifier(maxDepth=4, maxIter=12, stepSize=0.2, subsamplingRate=0.8, validationIndicatorCol="held", seed=42),
     }
 
 
+def of_point(p: dict, n_rows: int):
+    """The classifier of a point of a search: family, kind, and smoothing or inverse regularisation."""
+    if p["family"] == "lr":
+        return LogisticRegression(elasticNetParam=float(p["kind"] == "l1"), regParam=1 / (p["strength"] * max(1, n_rows)), standardization=False, maxIter=60)
+    binary = p["kind"] == "bernoulli"
+    nb = NaiveBayes(modelType=p["kind"], smoothing=p["strength"], featuresCol="there" if binary else "features")
+    return Pipeline(stages=[Binarizer(inputCol="features", outputCol="there"), nb]) if binary else nb
+
+
 def scores(model: Model, rows: DataFrame) -> DataFrame:
     """(key, label, split, score): probability of class 1, or the margin where there is none."""
     out = model.transform(rows)

@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from sparkcred.session import cut, maybe_broadcast
 
 
-def ranked(df: DataFrame, order: list, by: list[str] | None = None, name: str = "rank") -> DataFrame:
+def ranked(df: DataFrame, order: list, by: list[str] | None = None, name: str = "rank", unique: str | None = None) -> DataFrame:
     """``df`` with the 1-based position of each row in the order, overall or within each group.
 
     Rows are range partitioned by group and order; positions inside a partition come from a running count
     and the partitions before it add an offset, so a group in a third of all rows is spread like any other.
     The order must end in a unique key to be deterministic; nulls stand first, null groups are one group.
+    With ``unique``, a column without nulls or repeats, only it, the groups and the order are sorted and
+    written; the other columns are joined to their ranks afterwards.
     """
+    if unique is not None:
+        cols = {f"_o{n}": o if isinstance(o, Column) else F.col(o) for n, o in enumerate(order)}
+        keys_only = df.select(unique, *[c for c in by or [] if c != unique], *[c.alias(n) for n, c in cols.items()])
+        return df.join(ranked(keys_only, list(cols), by, name).select(unique, name), unique).select(*df.columns, name)
     by = by or []
     keys = [F.col(c) for c in by] + [o if isinstance(o, Column) else F.col(o) for o in order]
     placed = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))

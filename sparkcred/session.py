@@ -18,15 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a local one only where none is set."""
+    """Use the shared folder the cluster names; a local one only where all executors are this process.
+
+    On a cluster without spark.checkpoint.dir this is an error: a folder of one machine would not be shared.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(
-        spark.conf.get("spark.checkpoint.dir", None)
-        or sc.getConf().get("spark.checkpoint.dir", None)
-        or os.path.join(tempfile.gettempdir(), "sparkcred-checkpoints")
-    )
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "sparkcred-checkpoints"))
 
 
 def cut(df: DataFrame) -> DataFrame:

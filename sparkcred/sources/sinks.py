@@ -21,7 +21,10 @@ def csv_with_bom(df: DataFrame, path: str) -> None:
 
 
 def replace(df: DataFrame, path: str) -> str | None:
-    """Write beside the target, keep the old version under a numbered backup name, then swap. Returns the backup's path."""
+    """Write beside the target, keep the old version under a numbered backup name, then swap. Returns the backup's path.
+
+    For tables that are replaced now and then; each call leaves one backup.
+    """
     spark = df.sparkSession
     fs, target, jvm = _fs(spark, path)
     new, backup = f"{path}__new", None
