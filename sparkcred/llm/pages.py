@@ -75,13 +75,29 @@ def _h64(s: str) -> int:
     return ((zlib.crc32(b) << 32) | zlib.adler32(b[::-1]) ^ (len(b) << 20 & 0xFFFFFFFF)) - (1 << 63)
 
 
+def mask_inner(part: str) -> str:
+    """Mask of a part of a line between blanks, its beginning left as it is."""
+    s = unicodedata.normalize("NFKC", part).casefold()
+    s = _MAIL.sub("@", s) if "@" in s else s
+    return _SPACE.sub("", _DIGITS.sub("#", s))
+
+
+def key_of_masked(tail: str) -> int:
+    """Key of the line whose masked parts are put together in ``tail``."""
+    return _h64(_EDGE.sub("", tail))
+
+
 def key_of(line: str) -> int:
     """64-bit key of a masked line."""
     return _h64(mask(line))
 
 
+def host_part(host: str) -> int:
+    return zlib.crc32(host.encode("utf-8", "surrogatepass")) * 0x9E3779B97F4A7C15
+
+
 def site_key(host: str, key: int) -> int:
-    return ((zlib.crc32(host.encode("utf-8", "surrogatepass")) * 0x9E3779B97F4A7C15) ^ key) & 0xFFFFFFFFFFFFFFFF
+    return (host_part(host) ^ key) & 0xFFFFFFFFFFFFFFFF
 
 
 def finished(line: str) -> bool:
@@ -112,8 +128,11 @@ def words(line: str) -> list[str]:
     return out
 
 
+_bucket = Memo(lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")) & (BUCKETS - 1))
+
+
 def buckets(line: str) -> list[int]:
-    return [zlib.crc32(w.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for w in words(line)]
+    return [_bucket[w] for w in words(line)]
 
 
 def split_lines(content: str | None) -> list[str]:
@@ -191,6 +210,7 @@ class Model:
         self.shared_set = set(self.shared.tolist())
         self.memo = Memo(lambda s: (key_of(s), finished(s)))
         self.odds_memo = Memo(self._odds)
+        self.hosts = Memo(host_part)
 
     def __getstate__(self):
         return {k: self.__dict__[k] for k in ("keys", "cls", "slot", "shared", "odds")}
@@ -208,14 +228,14 @@ class Model:
 
     def read(self, host: str, lines: list[str], known: dict[int, tuple[int, int]] | None = None) -> list[tuple[str, int, int]]:
         """(kind, class, slot) of each line: b blank, c template line, s sentence, o open (no sentence end)."""
-        out = []
+        out, own = [], self.hosts[host]
         for i, x in enumerate(lines):
             x = x.strip()
             if not x:
                 out.append(("b", 0, 0))
                 continue
             k, e = self.memo[x]
-            hit = known.get(i) if known is not None else self.key_set.get(site_key(host, k))
+            hit = known.get(i) if known is not None else self.key_set.get((own ^ k) & 0xFFFFFFFFFFFFFFFF)
             if hit is None and k in self.shared_set:
                 hit = (0, 0)
             out.append(("s" if e else "o", 0, 0) if hit is None else ("c", *hit))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcred.llm.pages import Marker, Memo, Model, _TERM, key_of, known_of, pages_of, site_key, split_lines
+from sparkcred.llm.pages import Marker, Memo, Model, _TERM, key_of, key_of_masked, known_of, mask_inner, pages_of, split_lines
 from sparkcred.session import cut
 
 #: Least count of a context.
@@ -178,20 +178,28 @@ def judge(text: str) -> tuple[bool, bool, str, list[int] | None]:
     return True, keys is not None, bare, keys
 
 
+_masked = Memo(mask_inner)
+
+
 def _tails(last: str) -> Iterator[tuple[int, int]]:
-    """(position of the blank before, key) of what may be a page line glued to the end of a line."""
-    at = len(last)
+    """(position of the blank before, key) of what may be a page line glued to the end of a line.
+
+    A masked line is its masked words put together, so each word is masked once.
+    """
+    at, tail = len(last), ""
     for _ in range(24):
-        at = last.rfind(" ", 0, at)
+        end, at = at, last.rfind(" ", 0, at)
         if at <= 0 or len(last) - at > 160:
             break
-        yield at, key_of(last[at + 1 :])
+        tail = _masked[last[at + 1 : end]] + tail
+        yield at, key_of_masked(tail)
 
 
 def body_end(m: Model, host: str, last: str, glued: set[int] | None = None) -> str:
     """The last body line without a page line glued to its end; ``glued`` has the positions found by a join."""
+    own = m.hosts[host]
     for at, k in _tails(last):
-        if (at in glued) if glued is not None else site_key(host, k) in m.key_set or k in m.shared_set:
+        if (at in glued) if glued is not None else (own ^ k) & 0xFFFFFFFFFFFFFFFF in m.key_set or k in m.shared_set:
             return last[:at].rstrip()
     return last
 
