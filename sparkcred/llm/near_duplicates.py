@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sparkcred.llm.components import components
 from sparkcred.llm.pages import Marker, Memo, pages_of
-from sparkcred.session import cut, maybe_broadcast
+from sparkcred.session import cut
 
 SIMILARITY, LEAST_CHARS, GRAM = 0.6, 150, 5
 BITS, BANDS, ROWS = 1024, 40, 4
@@ -43,19 +43,28 @@ def alnum(text: str) -> str:
     return _NOT_ALNUM.sub("", unicodedata.normalize("NFKC", text).casefold())
 
 
-def grams(text: str) -> np.ndarray:
-    """Distinct hashes of the five-character sequences of a normalised text, sorted."""
+def _hashes(text: str) -> np.ndarray:
+    """Hashes of all five-character sequences of a text of at least five characters, in order."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "uint32").astype("uint64")
-    if len(c) < GRAM:
-        return np.zeros(0, "uint64")
     h = c[: len(c) - GRAM + 1].copy()
     for k in range(1, GRAM):
-        h = h * np.uint64(0x100000001B3) + c[k : len(c) - GRAM + 1 + k]
+        h *= np.uint64(0x100000001B3)
+        h += c[k : len(c) - GRAM + 1 + k]
     h ^= h >> np.uint64(33)
     h *= np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(33)
     h *= np.uint64(0xC4CEB9FE1A85EC53)
-    return np.unique(h ^ (h >> np.uint64(33)))
+    h ^= h >> np.uint64(33)
+    return h
+
+
+def grams(text: str) -> np.ndarray:
+    """Distinct hashes of the five-character sequences of a normalised text, sorted."""
+    if len(text) < GRAM:
+        return np.zeros(0, "uint64")
+    h = _hashes(text)
+    h.sort()
+    return h[np.r_[True, h[1:] != h[:-1]]]
 
 
 def bitmap(g: np.ndarray) -> bytes:
@@ -64,23 +73,45 @@ def bitmap(g: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def bands(g: np.ndarray) -> list[int]:
-    x = (g >> np.uint64(32)).astype("uint32")
+def _least(x: np.ndarray, buffer: np.ndarray) -> np.ndarray:
+    """Min-hashes of a set given by 32-bit hashes; repeated ones change nothing."""
     least = np.full(BANDS * ROWS, 0xFFFFFFFF, "uint32")
-    for i in range(0, len(x), 2048):
-        least = np.minimum(least, (_A[:, None] * x[None, i : i + 2048] + _B[:, None]).min(axis=1))
-    m = least.reshape(BANDS, ROWS).astype("uint64")
-    h = np.arange(1, BANDS + 1, dtype="uint64") * np.uint64(0x9E3779B97F4A7C15)
-    for k in range(ROWS):
-        h = (h ^ m[:, k]) * np.uint64(0xFF51AFD7ED558CCD)
-        h ^= h >> np.uint64(29)
-    return h.view("int64").tolist()
-
-
-def _signature(text: str) -> tuple:
-    g = grams(text)
-    b = bitmap(g)
-    return b, int(np.bitwise_count(np.frombuffer(b, "uint8")).sum()), len(g), bands(g)
+    for i in range(0, len(x), len(buffer)):
+        c = x[i : i + len(buffer), None]
+        h = np.multiply(c, _A, out=buffer[: len(c)])
+        h += _B
+        np.minimum(least, h.min(axis=0), out=least)
+    return least
+
+
+#: Texts whose signatures are made together.
+TEXTS_AT_ONCE = 512
+
+
+def signatures_of(texts: list[str]) -> list[tuple[bytes, int, int, list[int]]]:
+    """(bit map, its population count, number of distinct sequences, bands) of normalised texts of at least five characters."""
+    out = []
+    buffer = np.empty((256, BANDS * ROWS), "uint32")
+    salt = np.arange(1, BANDS + 1, dtype="uint64") * np.uint64(0x9E3779B97F4A7C15)
+    for s in range(0, len(texts), TEXTS_AT_ONCE):
+        some = texts[s : s + TEXTS_AT_ONCE]
+        every = _hashes("".join(some))
+        size = np.array([len(t) for t in some])
+        starts = np.cumsum(size) - size
+        bits, least, sizes = np.zeros((len(some), BITS), "uint8"), np.empty((len(some), BANDS * ROWS), "uint32"), []
+        place, high = (every & np.uint64(BITS - 1)).astype("int64"), (every >> np.uint64(32)).astype("uint32")
+        for n, (at, end) in enumerate(zip(starts.tolist(), (starts + size - GRAM + 1).tolist())):
+            bits[n, place[at:end]] = 1
+            least[n] = _least(high[at:end], buffer)
+            g = np.sort(every[at:end])
+            sizes.append(1 + int(np.count_nonzero(g[1:] != g[:-1])))
+        m = least.reshape(len(some), BANDS, ROWS).astype("uint64")
+        h = np.broadcast_to(salt, m.shape[:2])
+        for k in range(ROWS):
+            h = (h ^ m[:, :, k]) * np.uint64(0xFF51AFD7ED558CCD)
+            h ^= h >> np.uint64(29)
+        out += zip(map(bytes, np.packbits(bits, axis=1)), bits.sum(axis=1, dtype="int64").tolist(), sizes, h.view("int64").tolist())
+    return out
 
 
 def signatures(news: DataFrame) -> DataFrame:
@@ -92,11 +123,15 @@ def signatures(news: DataFrame) -> DataFrame:
         def row(row, lines, marks):
             text = alnum("".join(x for x, m in zip(lines, marks) if m == 0))
             if len(text) >= LEAST_CHARS:
-                yield (row.id, hashlib.md5(text.encode("utf-8", "surrogatepass")).digest(), text.encode("utf-8", "surrogatepass"), *_signature(text))
+                yield row.id, text
 
         return row
 
-    return marker.apply(pages, make, "id long, text_key binary, text binary, bits binary, pop int, size int, bands array<long>")
+    def signed(rows):
+        coded = [t.encode("utf-8", "surrogatepass") for _, t in rows]
+        return [(i, hashlib.md5(c).digest(), c, *s) for (i, _), c, s in zip(rows, coded, signatures_of([t for _, t in rows]))]
+
+    return marker.apply(pages, make, "id long, text_key binary, text binary, bits binary, pop int, size int, bands array<long>", signed)
 
 
 def tile_pairs(ids: np.ndarray, bits: np.ndarray, pop: np.ndarray, size: np.ndarray, side: np.ndarray, similarity: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -149,6 +184,51 @@ def _cells(similarity: float):
     return run
 
 
+def _tiles(tile: int):
+    """Tiles of the buckets of several rows, one row each, from rows in the order of their band.
+
+    ``who`` names the members of the bucket: buckets with equal members have equal tiles.
+    """
+
+    def buckets(ids: np.ndarray, band: np.ndarray, starts: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        mixed = ids.view("uint64") * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xFF51AFD7ED558CCD)
+        mixed ^= mixed >> np.uint64(29)
+        who = np.add.reduceat(mixed, starts).view("int64") if len(starts) else starts
+        out = []
+        for k in np.flatnonzero(n > 1).tolist():
+            at, m = starts[k], int(n[k])
+            own, tiles = ids[at : at + m], -(-m // tile)
+            t = mixed[at : at + m] % np.uint64(tiles)
+            out += [(m, who[k], int(x), tiles, band[at], own[t == x] if tiles > 1 else own) for x in (np.unique(t) if tiles > 1 else (0,))]
+        return pd.DataFrame(out, columns=["n", "who", "t", "tiles", "band", "ids"]).astype({"n": "int32", "who": "int64", "t": "int32", "tiles": "int32", "band": "int64"})
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []  # the bucket that may go on in the next batch
+        at = None
+        for pdf in parts:
+            ids, band = pdf["id"].to_numpy("int64"), pdf["band"].to_numpy("int64")
+            if not len(ids):
+                continue
+            if held and band[-1] == at:
+                held.append(ids)
+                continue
+            starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+            if held:
+                size = sum(map(len, held))
+                ids, band = np.concatenate([*held, ids]), np.concatenate([np.full(size, at), band])
+                starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+            held, at = [ids[starts[-1] :]], band[-1]
+            if len(starts) > 1:
+                yield buckets(ids[: starts[-1]], band, starts[:-1], np.diff(starts))
+        if held:
+            ids = np.concatenate(held)
+            yield buckets(ids, np.full(len(ids), at), np.zeros(1, "int64"), np.array([len(ids)]))
+
+    return run
+
+
 def _exact(similarity: float):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = Memo(lambda t: grams(t.decode("utf-8", "surrogatepass")), 20_000)
@@ -156,7 +236,9 @@ def _exact(similarity: float):
             sims = []
             for ta, tb in zip(pdf["ta"], pdf["tb"]):
                 x, y = memo[ta], memo[tb]
-                both = np.intersect1d(x, y, assume_unique=True).size
+                z = np.concatenate([x, y])
+                z.sort()
+                both = int(np.count_nonzero(z[1:] == z[:-1]))
                 sims.append(both / max(1, len(x) + len(y) - both))
             out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": sims})
             yield out[out["similarity"] >= similarity]
@@ -169,15 +251,13 @@ def similar_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
     docs = cut(docs)
     members = docs.groupBy("text_key").agg(F.min("id").alias("rep")).join(docs.select("id", "text_key"), "text_key").select("id", "rep").distinct()
     sigs = cut(docs.groupBy("text_key").agg(F.min("id").alias("id"), F.first(F.struct("bits", "pop", "size", "bands")).alias("s")).select("id", "s.bits", "s.pop", "s.size", "s.bands"))
-    in_band = sigs.select("id", F.explode("bands").alias("band"))
-    # buckets with equal members need one comparison
-    buckets = in_band.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 44))).alias("who")).filter("n > 1")
-    buckets = cut(buckets.groupBy("n", "who").agg(F.min("band").alias("band")).select("band", "n"))
-    kept = in_band.join(maybe_broadcast(buckets, buckets.count(), 500_000), "band")
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    t = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    cells = kept.withColumn("tiles", tiles).withColumn("t", t).withColumn("o", F.explode(F.expr("sequence(0, tiles - 1)")))
-    cells = cells.select("id", "band", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), F.when(F.col("t") == F.col("o"), 0).when(F.col("t") < F.col("o"), 1).otherwise(2).alias("side"))
+    # one shuffle of the bands; buckets with equal members need one comparison
+    in_band = sigs.select("id", F.explode("bands").alias("band")).repartition("band").sortWithinPartitions("band")
+    tiles = in_band.mapInPandas(_tiles(TILE), "n int, who long, t int, tiles int, band long, ids array<long>")
+    tiles = tiles.groupBy("n", "who", "t").agg(F.min("band").alias("band"), F.first("tiles").alias("tiles"), F.first("ids").alias("ids"))
+    cells = tiles.withColumn("o", F.explode(F.expr("sequence(0, tiles - 1)")))
+    side = F.when(F.col("t") == F.col("o"), 0).when(F.col("t") < F.col("o"), 1).otherwise(2)
+    cells = cells.select("band", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), side.alias("side"), F.explode("ids").alias("id"))
     rows = cells.join(sigs.select("id", "bits", "pop", "size"), "id")
     near = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInPandas(_cells(similarity), "a long, b long").distinct()
     near = cut(near)

@@ -50,6 +50,7 @@ _MAIL = re.compile(r"[\w.+\-]+@[\w.\-]+")
 _DIGITS = re.compile(r"\d[\d.,]*")
 _SPACE = re.compile(r"\s+")
 _TERM = re.compile(r"[.!?。！？．｡]['\"”’»›」』)）\]】]*\s*$")
+_HAN = re.compile("[一-鿿]")
 _WORD = re.compile(r"[a-zà-öø-ÿßœ]+|[가-힣ᄀ-ᇿ]+|[぀-ヿ]+|[一-鿿]|#|[^\w\s]")
 
 
@@ -123,6 +124,8 @@ def words(line: str) -> list[str]:
     s = _DIGITS.sub("#", unicodedata.normalize("NFKC", line).casefold())
     t = _WORD.findall(s.strip())
     out = ["^" + t[0], t[-1] + "$"] if t else []
+    if not _HAN.search(s):
+        return out + t
     for a, b in zip(t, t[1:] + [""]):
         out.append(a + b if len(a) == 1 and "一" <= a <= "鿿" and b else a)
     return out
@@ -446,8 +449,11 @@ class Marker:
         memo = Memo(key_of)
         return self.constant(pages, lambda row: ((n, memo[x.strip()]) for n, x in enumerate(split_lines(row.content)) if x.strip()), "known")
 
-    def apply(self, pages: DataFrame, make, schema: str) -> DataFrame:
-        """``make(model)`` gives a function of one page row (namedtuple with ``marks`` and ``lines``) yielding output tuples."""
+    def apply(self, pages: DataFrame, make, schema: str, finish=None) -> DataFrame:
+        """``make(model)`` gives a function of one page row (namedtuple with ``marks`` and ``lines``) yielding output tuples.
+
+        ``finish`` turns the tuples of a batch into those of the schema.
+        """
         wide, model = self.wide, self.model
         if wide:
             pages = self._known(pages)
@@ -464,6 +470,6 @@ class Marker:
                     if wide:
                         known = known_of(row.known)
                     out.extend(rows_of(row, lines, m.marks(row.host, lines, known)))
-                yield pd.DataFrame(out, columns=names)
+                yield pd.DataFrame(finish(out) if finish else out, columns=names)
 
         return pages.mapInPandas(run, schema)

@@ -2,10 +2,12 @@ import collections
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from sparkcred.llm import boilerplate, components, history, language, leakage, mixing, near_duplicates, new_batches, pages, repeated_lines, small_world, splitting, tokenizer, truncation
+from sparkcred import session
 from sparkcred.session import table
 
 DATA = "/root/testdata/sf0.001"
@@ -166,6 +168,48 @@ def test_large_bucket_is_cut_into_tiles(spark, monkeypatch):
     assert len(pairs(near_duplicates.near_pairs(news(spark, rows)))) == 30 * 29 // 2
 
 
+def test_tiles_of_buckets_in_one_pass():
+    rng = random.Random(8)
+    members = [sorted(rng.sample(range(1000), n)) for n in (1, 2, 2, 30, 1, 9, 300, 1)]
+    members += [members[3], members[1]]
+    rows = [(i, band) for band, ids in enumerate(members) for i in ids]
+    for size in (1, 7, 64, len(rows)):
+        parts = (pd.DataFrame(rows[k : k + size], columns=["id", "band"]) for k in range(0, len(rows), size))
+        got = pd.concat(near_duplicates._tiles(16)(parts))
+        for band, own in got.groupby("band"):
+            assert sorted(i for ids in own["ids"] for i in ids) == members[band] and set(own["n"]) == {len(members[band])}
+            assert all(len(own) == 1 for _ in [0] if len(members[band]) <= 16)
+        assert sorted(set(got["band"])) == [b for b, ids in enumerate(members) if len(ids) > 1]
+        who = got.groupby("band")["who"].first()
+        assert who[3] == who[8] and who[1] == who[9] and who[1] != who[2]
+        assert [sorted(x) for x in got[got["band"] == 6].sort_values("t")["ids"]] != [members[6]]
+
+
+def test_buckets_are_shuffled_once(spark, monkeypatch):
+    bands, shuffled = [], near_duplicates._tiles
+    monkeypatch.setattr(near_duplicates, "_tiles", lambda tile: bands.append(tile) or shuffled(tile))
+    joins = []
+    monkeypatch.setattr(near_duplicates, "cut", lambda df: joins.append(df._jdf.queryExecution().optimizedPlan().toString()) or session.cut(df))
+    assert near_duplicates.near_pairs(news(spark, [(i, {"content": body(random.Random(i % 9))}) for i in range(18)])).count() == 9
+    assert len(bands) == 1 and not any(line.lstrip(" :+-").startswith("Join") and "band" in line for plan in joins for line in plan.split("\n"))
+
+
+def test_signatures_of_a_batch_equal_those_of_each_text():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh\U0001f600가") for _ in range(n)) for n in (5, 6, 150, 700, 1100)]
+    for t, (bits, pop, size, bands) in zip(texts, near_duplicates.signatures_of(texts)):
+        g = near_duplicates.grams(t)
+        assert bits == near_duplicates.bitmap(g) and size == len(g) and pop == np.bitwise_count(np.frombuffer(bits, "uint8")).sum()
+        x = (g >> np.uint64(32)).astype("uint32")
+        least = (near_duplicates._A[:, None] * x + near_duplicates._B[:, None]).min(axis=1).reshape(near_duplicates.BANDS, near_duplicates.ROWS)
+        for n, m in enumerate(least.tolist(), 1):
+            h = n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+            for v in m:
+                h = (h ^ v) * 0xFF51AFD7ED558CCD & 0xFFFFFFFFFFFFFFFF
+                h ^= h >> 29
+            assert bands[n - 1] & 0xFFFFFFFFFFFFFFFF == h
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components.components(links).collect()}
