@@ -3,8 +3,8 @@
 Addresses are brought to one form and joined. Titles are stripped of what is not part of the headline;
 equal ones are joined too, and the rest is found by graph search: a title is a 256-bit map of its letter
 pairs; it is routed by three min-hashes to three segments, and each segment keeps navigable small-world
-graphs: one of the history, a new one for each batch, and every few batches these are compacted into the
-first. Beams are widened until sampled searches agree with an exhaustive one; a title whose beam
+graphs: one of the history, a new one for each batch, and every few batches these are merged into one, with
+every older one that is not more than twice as large. Beams are widened until sampled searches agree with an exhaustive one; a title whose beam
 ends within the radius is compared with its whole shard. Candidates within the radius are reranked exactly by edits. Links carry on through connected components.
 
 The number of segments follows the number of titles and a title visits three of them, so a batch costs its
@@ -29,7 +29,7 @@ from sparkcred.llm.small_world import SmallWorld
 from sparkcred.session import cut, maybe_broadcast
 
 BITS, ROUTES, SEGMENT_TITLES, RADIUS = 256, 3, 12_000, 16
-#: Batch shards of a segment that are searched side by side before they are merged into its main graph.
+#: Batch shards of a segment that are searched side by side before they are merged.
 COMPACT_EVERY = 8
 LEAST_TITLE = 4
 
@@ -186,6 +186,24 @@ def rings(route: np.ndarray) -> np.ndarray:
     return np.array(both, "uint64").transpose(2, 0, 1).view("int64")
 
 
+def kept(sizes: list[int], batches: list[int]) -> int:
+    """How many of a segment's shards stay as they are; the others are merged into one.
+
+    Nothing is merged before COMPACT_EVERY batch shards stand beside the first one. Then they are, with the older
+    ones that are no more than twice as large, so a title is indexed again a logarithmic number of times and a
+    batch does not cost a new graph of the history.
+    """
+    at = len(sizes)
+    while at and batches[at - 1] == 1:
+        at -= 1
+    at = max(at, 1)
+    if len(sizes) - at < COMPACT_EVERY:
+        return len(sizes)
+    while at and sizes[at - 1] <= 2 * sum(sizes[at:]):
+        at -= 1
+    return at
+
+
 def _segment(pdf: pd.DataFrame) -> pd.DataFrame:
     """Run one segment in the order of arrival: search all shards, then index the batch as a new shard."""
     pdf = pdf.sort_values(["batch_no", "id"], kind="stable")
@@ -193,16 +211,16 @@ def _segment(pdf: pd.DataFrame) -> pd.DataFrame:
     bits = np.frombuffer(b"".join(pdf["bits"]), "uint64").reshape(len(pdf), BITS // 64)
     hashes = np.array(pdf["rings"].tolist(), "int64")
     digits = pd.factorize(np.array(["".join(c for c in k if c.isdigit()) for k in keys], dtype=object))[0]
-    shards: list[tuple[SmallWorld, np.ndarray]] = []
+    shards: list[tuple[SmallWorld, np.ndarray, int]] = []  # graph, rows, batches it was merged from
     links: set[tuple[int, int]] = set()
 
-    def build(rows: np.ndarray) -> None:
+    def build(rows: np.ndarray, batches: int) -> None:
         g = SmallWorld(bits[rows], hashes[rows])
         g.tune(hashes[rows], RADIUS)
-        shards.append((g, rows))
+        shards.append((g, rows, batches))
 
     def search(rows: np.ndarray) -> None:
-        for g, own in shards:
+        for g, own, _ in shards:
             x, y = g.within(bits[rows], RADIUS, hashes[rows])
             x, y = rows[x], own[y]
             alike = digits[x] == digits[y]  # others are different headlines
@@ -217,12 +235,13 @@ def _segment(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = np.flatnonzero(batch == b)
         own = rows[mine[rows]]
         if len(own):
-            build(own)  # the batch's own shard is searched too: copies inside one batch
+            build(own, 1)  # the batch's own shard is searched too: copies inside one batch
         search(rows)
-        if len(shards) > COMPACT_EVERY:
-            merged = np.concatenate([r for _, r in shards])
-            shards.clear()
-            build(merged)
+        keep = kept([len(r) for _, r, _ in shards], [n for *_, n in shards])
+        if keep < len(shards):
+            some = shards[keep:]
+            del shards[keep:]
+            build(np.concatenate([r for _, r, _ in some]), sum(n for *_, n in some))
     return pd.DataFrame(sorted(links), columns=["a", "b"]).astype("int64")
 
 

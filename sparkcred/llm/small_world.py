@@ -5,11 +5,19 @@ from __future__ import annotations
 import numpy as np
 
 NEAR, BACK, LONG = 6, 8, 2
+#: Shards of up to this many nodes, as many as tuning compares with all others, are always compared as a whole.
+FEW = 512
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits along the last axis."""
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype="int16")
+    one = np.bitwise_count(a ^ b)
+    if one.shape[-1] != 4:
+        return one.sum(axis=-1, dtype="int16")
+    # four counts at once in the lanes of a word
+    v = np.ascontiguousarray(one).view("uint32")[..., 0]
+    v = (v & np.uint32(0x00FF00FF)) + ((v >> np.uint32(8)) & np.uint32(0x00FF00FF))
+    return ((v + (v >> np.uint32(16))) & np.uint32(0xFFFF)).astype("int16")
 
 
 class SmallWorld:
@@ -21,7 +29,7 @@ class SmallWorld:
     """
 
     def __init__(self, bits: np.ndarray, hashes: np.ndarray, beam: int = 8):
-        self.bits, self.beam, self.size, self.exact = np.ascontiguousarray(bits), beam, 0, False
+        self.bits, self.beam, self.size, self.exact = np.ascontiguousarray(bits), beam, 0, len(bits) <= FEW
         n, rings = hashes.shape
         self.links = np.full((n, NEAR + BACK + 2 * rings + LONG), -1, "int32")
         self.rng = np.random.default_rng(n)
@@ -32,7 +40,7 @@ class SmallWorld:
                 self.links[o[1:], NEAR + BACK + 2 * k], self.links[o[:-1], NEAR + BACK + 2 * k + 1] = o[:-1], o[1:]
             self.links[:, -LONG:] = self.rng.integers(0, n, (n, LONG))
         step = 256
-        while self.size < n:
+        while self.size < n and not self.exact:
             self._insert(min(step, n - self.size), hashes)
             step = max(256, self.size)
         self._tidy()
@@ -115,22 +123,24 @@ class SmallWorld:
 
     def within(self, q: np.ndarray, radius: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(queries, nodes) within the radius; exact for queries whose beam may have left some out."""
-        found, dist = self.search(q, self.beam, hashes)
-        full = self.overfull(found, dist, radius)
-        x, y = np.nonzero((found >= 0) & (dist <= radius) & ~full[:, None])
-        out = [(x, found[x, y])]
-        block = max(1, (1 << 20) // max(1, len(self.bits)))
-        rest = np.flatnonzero(full)
+        out, rest = [], np.arange(len(q))
+        if not self.exact:
+            found, dist = self.search(q, self.beam, hashes)
+            full = self.overfull(found, dist, radius)
+            x, y = np.nonzero((found >= 0) & (dist <= radius) & ~full[:, None])
+            out, rest = [(x, found[x, y])], np.flatnonzero(full)
+        block = max(1, (1 << 16) // max(1, len(self.bits)))
         for i in range(0, len(rest), block):
             x, y = np.nonzero(distances(q[rest[i : i + block]][:, None], self.bits[None]) <= radius)
             out.append((rest[i + x], y))
-        return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+        none = np.zeros(0, "int64")
+        return np.concatenate([none, *(x for x, _ in out)]), np.concatenate([none, *(y for _, y in out)])
 
     def overfull(self, found: np.ndarray, dist: np.ndarray, radius: int) -> np.ndarray:
         """Queries to be compared with the whole shard: their beam ends within the radius, or beams are too narrow here."""
         return np.full(len(found), True) if self.exact else (found[:, -1] >= 0) & (dist[:, -1] <= radius)
 
-    def tune(self, hashes: np.ndarray, radius: int, sample: int = 512, recall: float = 0.92, most: int = 128) -> int:
+    def tune(self, hashes: np.ndarray, radius: int, sample: int = FEW, recall: float = 0.92, most: int = 128) -> int:
         """Widen the beam until searches from a sample of nodes find what an exhaustive search finds within the radius.
 
         All neighbours count. Queries that ``within`` compares with the whole shard are left out; if the widest
@@ -138,9 +148,10 @@ class SmallWorld:
         found by all of them together is far higher.
         """
         n = len(self.bits)
+        if self.exact:
+            return self.beam
         at = np.unique(np.linspace(0, n - 1, min(sample, n)).astype(int))
-        exact = distances(self.bits[at][:, None], self.bits[None]) <= radius
-        near = [np.flatnonzero(x) for x in exact]
+        near = [np.flatnonzero(distances(self.bits[i][None], self.bits) <= radius) for i in at]
         while True:
             ids, dist = self.search(self.bits[at], self.beam, hashes[at])
             beam = [(x, i) for x, i, full in zip(near, ids, self.overfull(ids, dist, radius)) if not full]

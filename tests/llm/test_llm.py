@@ -533,6 +533,37 @@ def test_templated_headlines_fill_no_beam(spark):
     assert set(zip(got["a"], got["b"])) >= {(k, 600 + n) for n, k in enumerate(pick)}
 
 
+def test_history_is_not_indexed_again_with_every_merge(monkeypatch):
+    rng = random.Random(31)
+    keys = ["".join(rng.choice("abcdefghijklmnop") for _ in range(24)) for _ in range(1000)]
+    batch = [0] * 600 + [1 + k // 10 for k in range(400)]
+    for n in range(0, 1000, 25):
+        keys[n] = keys[n // 2 + 1][:11] + keys[n // 2 + 1][12:]
+    bits, route = new_batches.title_bits(keys)
+    indexed, build = [], new_batches.SmallWorld
+    monkeypatch.setattr(new_batches, "SmallWorld", lambda b, h: indexed.append(len(b)) or build(b, h))
+    got = new_batches._segment(pd.DataFrame({
+        "id": range(len(keys)), "batch_no": batch, "title_key": keys, "bits": [b.tobytes() for b in bits], "rings": list(new_batches.rings(route)[:, 0]), "part": 0, "home": 0,
+    }))
+    links = set(zip(got["a"], got["b"]))
+    want = {(n // 2 + 1, n) for n in range(25, 1000, 25)}
+    assert len(want & links) >= 0.92 * len(want)
+    assert len(indexed) > 40 and sum(indexed) < 3 * len(keys)
+
+
+@pytest.mark.parametrize("n", [1, 2, 300, 512])
+def test_small_shards_are_compared_as_a_whole(n):
+    rng = np.random.default_rng(n)
+    bits, hashes = rng.integers(0, 1 << 63, (n, 4)).astype("uint64"), rng.integers(0, 1 << 60, (n, 2))
+    bits[n // 2 :] = bits[: n - n // 2] ^ (np.uint64(1) << rng.integers(0, 63, (n - n // 2, 4)).astype("uint64"))
+    bits[-1] = ~bits[0]
+    g = small_world.SmallWorld(bits, hashes)
+    g.tune(hashes, 16)
+    apart = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2, dtype="int64")
+    assert (small_world.distances(bits[:, None], bits[None]) == apart).all()
+    assert sorted(zip(*(x.tolist() for x in g.within(bits, 16, hashes)))) == sorted(zip(*(x.tolist() for x in np.nonzero(apart <= 16))))
+
+
 def test_history_batch_by_batch_equals_all_at_once(spark, tmp_path):
     df = table(spark, DATA, "realtime_news").select("id", "title", "media", "url", F.least("batch_no", F.lit(3)).alias("batch_no"))
     df = df.unionByName(spark.createDataFrame([(9_000_001, None, None, None, 2), (9_000_002, " ", "x", "", 3), (None, "t", "m", "u", 1)], df.schema)).withColumn("h", F.lit(1))
