@@ -29,6 +29,8 @@ LEAST_COUNT = 3
 FILTER_BITS, TOKENS_AT_ONCE = 1 << 26, 1 << 20
 #: Shares of a context's occurrences that end a sentence or line from which it counts as an end.
 END_SHARE = 0.5
+#: Ends of a context under this share of the longer words that begin like its token are cuts of such words.
+CUT_SHARE = 0.01
 #: Prefixes under this many characters prove nothing.
 LEAST_PREFIX = 12
 
@@ -47,9 +49,13 @@ def value_of(text: str) -> str:
     return _REST.sub("", _STOPS.sub(".", _DOT.sub("", s)))
 
 
+def words_of(text: str) -> list[str]:
+    """Tokens with their digits."""
+    return _TOKEN.findall(unicodedata.normalize("NFKC", html.unescape(text)).casefold())
+
+
 def tokens(text: str) -> list[str]:
-    s = unicodedata.normalize("NFKC", html.unescape(text)).casefold()
-    return ["#" if t[0].isdigit() else t for t in _TOKEN.findall(s)]
+    return ["#" if t[0].isdigit() else t for t in words_of(text)]
 
 
 def _token_hash(t: str) -> tuple[int, bool]:
@@ -58,22 +64,39 @@ def _token_hash(t: str) -> tuple[int, bool]:
     return zlib.crc32(b) << 32 | zlib.adler32(b), unicodedata.category(t[0]) in ("Pe", "Pf")
 
 
+def _key(level: int, *parts: np.ndarray) -> np.ndarray:
+    h = np.full(len(parts[0]), level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, "uint64")
+    for x in parts:
+        h = (h ^ x) * np.uint64(0xFF51AFD7ED558CCD)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
+        h ^= h >> np.uint64(29)
+    return h.view("int64")
+
+
 def context_keys(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     """[5, n] keys of the contexts of tokens c after b after a: from the longest to the shortest, then those that leave the token itself open."""
-    out = []
-    for level, parts in enumerate(((a, b, c), (b, c), (c,), (a, b), (b,)), 1):
-        h = np.full(len(c), level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, "uint64")
-        for x in parts:
-            h = (h ^ x) * np.uint64(0xFF51AFD7ED558CCD)
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
-            h ^= h >> np.uint64(29)
-        out.append(h.view("int64"))
-    return np.array(out)
+    return np.array([_key(level, *parts) for level, parts in enumerate(((a, b, c), (b, c), (c,), (a, b), (b,)), 1)])
 
 
 _START = _token_hash("^")[0]
 
 
+def _beginnings(t: str) -> np.ndarray:
+    """Hashes of the beginnings of a word that are shorter than the word."""
+    some = [t[:n].encode("utf-8", "surrogatepass") for n in range(1, len(t))] if t[0].isalpha() else []
+    return np.array([zlib.crc32(x) << 32 | zlib.adler32(x) for x in some], "uint64")
+
+
+def _summed(key: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys that occur, in order, and the sums of the counts of each."""
+    if not len(key):
+        return key, *counts
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[first], *(np.add.reduceat(n[order], first) for n in counts)
+
+
 def end_keys(text: str) -> list[int] | None:
     """Keys of the contexts of the last token; None where the text has none after its last stop."""
     s = list(_sentences(tokens(text)))[-1]
@@ -99,35 +122,79 @@ def _count_contexts(model, asked: np.ndarray, wide: bool):
     """Counts of the contexts asked for (line 0), and one row per context that ends a line without a stop.
 
     Such lines are counted once however often their text recurs, and not for contexts of one word,
-    which may be the first part of a longer word.
+    which may be the first part of a longer word. ``longer`` counts the longer words that stand where the
+    token of a context of several words would.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m: Model = model.value
-        words = Memo(_token_hash)
+        names, hashes, kinds = [], [], []  # of the vocabulary; kind 1 a stop, 2 an initial, 3 a closing mark
+
+        def code(t: str) -> int:
+            t = "#" if t[0].isdigit() else t
+            h, closes = _token_hash(t)
+            names.append(t), hashes.append(h)
+            kinds.append(1 if t in _STOP else 3 if closes else 2 if len(t) == 1 and t.isascii() and t.isalpha() else 0)
+            return len(hashes) - 1
+
+        vocabulary, begun = Memo(code, 1 << 60), Memo(lambda n: _beginnings(names[n]), 1 << 60)
         bits = asked.value
-        # tokens with two starts before each sentence; kind 0 start, 1 inside, 2 before a stop, 3 (4: a closing mark) at a line's end
-        ids, kind, line = [], [], []
+        codes, sizes, texts = [], [], []  # tokens of all lines, their number in each line, the lines
 
         def counted() -> pd.DataFrame:
-            h, k, at = np.array(ids, "uint64"), np.array(kind, "int8"), np.flatnonzero(np.array(kind, "int8"))
-            ids.clear(), kind.clear()
-            keys = context_keys(h[at - 2], h[at - 1], h[at])
+            at, size = np.array(codes, "int64"), np.array(sizes, "int64")
+            kind = np.array(kinds, "int8")[at]
+            of_line = np.repeat(np.arange(len(size)), size)
+            after = np.r_[False, (kind[:-1] == 2) & (of_line[1:] == of_line[:-1])][: len(at)]
+            stop = (kind == 1) & ~after  # a stop after a single letter is an initial
+            starts = np.r_[True, stop[:-1] | (of_line[1:] != of_line[:-1])][: len(at)]
+            place = np.arange(len(at)) - np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
+            followed = np.r_[starts[1:], True][: len(at)]  # the last of its line, or a stop
+            ends_line = followed & ~stop
+            before_stop = np.r_[stop[1:] & ~starts[1:], False][: len(at)]
+            h = np.array(hashes, "uint64")[at]
+            b = np.where(place >= 1, np.r_[h[:1], h[:-1]][: len(h)], _START)
+            a = np.where(place >= 2, np.r_[h[:2], h[:-2]][: len(h)], _START)
+            inside, last = np.flatnonzero(~stop & ~ends_line), np.flatnonzero(ends_line)
+            loose_a, loose_b, loose_c, closing = a[last], b[last], h[last], kind[last] == 3
+            line = [key_of(texts[n]) or 1 for n in of_line[last].tolist()]
+            codes.clear(), sizes.clear(), texts.clear()
+            # each run of three tokens once, with its counts
+            full = _key(1, a[inside], b[inside], h[inside])
+            order = np.argsort(full, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(full[order]) != 0][: len(order)])
+            n = np.diff(np.r_[first, len(order)])
+            stops = np.add.reduceat(before_stop[inside][order].astype("int64"), first) if len(first) else first
+            one_each = inside[order[first]]
+            a, b, c, token = a[one_each], b[one_each], h[one_each], at[one_each]
+            keys = context_keys(a, b, c)
             wanted = asked_for(bits, keys)
-            k = k[at]
-            body, ends = wanted & (k <= 2), wanted & (k == 2)
-            key, total = np.unique(keys[body], return_counts=True)
-            n_ends = np.zeros(len(key), "int64")
-            some, n = np.unique(keys[ends], return_counts=True)
-            n_ends[np.searchsorted(key, some)] = n
-            last = np.flatnonzero(k >= 3)
-            loose = wanted[:, last]
-            loose[2] &= k[last] == 4
+            each = lambda x: np.broadcast_to(x, wanted.shape)[wanted]
+            key, total, n_ends = _summed(keys[wanted], each(n), each(stops))
+            # longer words where a context is asked for that leaves its token open
+            near = np.flatnonzero(wanted[4])
+            some, which = np.unique(token[near], return_inverse=True)
+            parts_of = [begun[x] for x in some.tolist()]
+            size = np.array([len(x) for x in parts_of], "int64")
+            many = size[which]
+            from_ = np.repeat((np.cumsum(size) - size)[which], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            begin = np.concatenate([*parts_of, np.zeros(0, "uint64")])[from_]
+            of = np.repeat(near, many)
+            part = np.concatenate([_key(1, a[of], b[of], begin), _key(2, b[of], begin)])
+            ok = asked_for(bits, part)
+            part, longer = _summed(part[ok], np.concatenate([n[of], n[of]])[ok])
+            ends = context_keys(loose_a, loose_b, loose_c)
+            loose = asked_for(bits, ends)
+            loose[2] &= closing
             loose[4] = False
-            of = np.broadcast_to(np.array(line, "int64"), loose.shape)[loose]
-            line.clear()
-            more = keys[:, last][loose]
-            return pd.DataFrame({"key": np.r_[key, more], "line": np.r_[np.zeros(len(key), "int64"), of], "total": np.r_[total, np.ones(len(more), "int64")], "ends": np.r_[n_ends, np.ones(len(more), "int64")]}).astype("int64")
+            lines = np.broadcast_to(np.array(line, "int64"), loose.shape)[loose]
+            if len(hashes) > 400_000:
+                vocabulary.clear(), begun.clear(), names.clear(), hashes.clear(), kinds.clear()
+            none, one = np.zeros(len(part), "int64"), np.ones(len(lines), "int64")
+            return pd.DataFrame({
+                "key": np.r_[key, part, ends[loose]], "line": np.r_[np.zeros(len(key) + len(part), "int64"), lines], "total": np.r_[total, none, one],
+                "ends": np.r_[n_ends, none, one], "longer": np.r_[np.zeros(len(key), "int64"), longer, 0 * one],
+            }).astype("int64")
 
         for pdf in parts:
             for host, content, known in zip(pdf["host"], pdf["content"], pdf["known"] if wide else pdf["host"]):
@@ -135,21 +202,10 @@ def _count_contexts(model, asked: np.ndarray, wide: bool):
                 for x, mark in zip(lines, m.marks(host, lines, known_of(known) if wide else None)):
                     if mark != 0:
                         continue
-                    sentences = list(_sentences(tokens(x.strip())))
-                    for n, s in enumerate(sentences, 1):
-                        if not s:
-                            continue
-                        got = [words[t] for t in s]
-                        ids.extend((_START, _START))
-                        ids.extend(g[0] for g in got)
-                        kind.extend((0, 0))
-                        kind.extend([1] * (len(s) - 1))
-                        if n < len(sentences):
-                            kind.append(2)
-                        else:
-                            kind.append(4 if got[-1][1] else 3)
-                            line.append(key_of(x) or 1)
-                if len(ids) >= TOKENS_AT_ONCE:
+                    found = words_of(x.strip())
+                    codes.extend([vocabulary[t] for t in found])
+                    sizes.append(len(found)), texts.append(x)
+                if len(codes) >= TOKENS_AT_ONCE:
                     yield counted()
         yield counted()
 
@@ -232,13 +288,15 @@ def _guesses(marker: Marker, pages: DataFrame, values: DataFrame) -> DataFrame:
     pages = pages.filter("content is not null").select("id", "host", "content")
     pages = marker._known(pages).select("host", "content", "known") if wide else pages.select("host", "content")
     counts = (
-        pages.mapInPandas(_count_contexts(marker.model, spark.sparkContext.broadcast(bits), wide), "key long, line long, total long, ends long")
-        .groupBy("key", "line").agg(F.when(F.col("line") == 0, F.sum("total")).otherwise(1).alias("total"), F.when(F.col("line") == 0, F.sum("ends")).otherwise(1).alias("ends"))
-        .groupBy("key").agg(F.sum("total").alias("total"), F.sum("ends").alias("ends")).filter(F.col("total") >= LEAST_COUNT)
+        pages.mapInPandas(_count_contexts(marker.model, spark.sparkContext.broadcast(bits), wide), "key long, line long, total long, ends long, longer long")
+        .groupBy("key", "line").agg(*[F.when(F.col("line") == 0, F.sum(c)).otherwise(F.max(c)).alias(c) for c in ("total", "ends", "longer")])
+        .groupBy("key").agg(*[F.sum(c).alias(c) for c in ("total", "ends", "longer")]).filter(F.col("total") + F.col("longer") >= LEAST_COUNT)
     )
-    is_cut = F.col("ends") / F.col("total") < END_SHARE
-    found = ends.join(counts, "key").groupBy("ctx").agg(*[F.max(F.when(F.col("at") == n, is_cut)).alias(f"c{n}") for n in range(5)])
-    cut_by = F.when(F.col("c2").isNotNull(), F.coalesce("c0", "c1", "c2")).otherwise(F.coalesce("c3", "c4"))
+    inside = F.col("ends") < CUT_SHARE * F.col("longer")  # of a word
+    is_cut = F.when(inside, True).when(F.col("total") >= LEAST_COUNT, F.col("ends") / F.col("total") < END_SHARE)
+    at = lambda n, x: F.max(F.when(F.col("at") == n, x))
+    found = ends.join(counts, "key").groupBy("ctx").agg(*[at(n, is_cut).alias(f"c{n}") for n in range(5)], *[at(n, F.when(inside, True)).alias(f"w{n}") for n in range(2)])
+    cut_by = F.when(F.col("c2").isNotNull(), F.coalesce("c0", "c1", "c2")).otherwise(F.coalesce("w0", "w1", "c3", "c4"))
     return found.select("ctx", cut_by.alias("cut")).filter("cut is not null")
 
 

@@ -494,6 +494,45 @@ def test_contexts_are_counted_on_every_page(spark, monkeypatch):
     assert (100, "summary") not in pairs(truncation.truncated(news(spark, rows)))
 
 
+def test_ends_inside_a_word_are_no_ends_however_often_they_recur(spark):
+    rng = random.Random(27)
+    said = "The council spoke about maintenance today and left."
+    rows = [(i, {"url": f"https://a.example/{i}", "content": body(rng, 2) + " " + " ".join([said] * 20) + " Cars use the main road."}) for i in range(30)]
+    ends = [(100 + i, {"url": f"https://a.example/{100 + i}", "content": body(rng, 2) + " The council spoke about main"}) for i in range(4)]
+    closed = [(200 + i, {"url": f"https://a.example/{200 + i}", "content": body(rng, 2) + " Notes by the desk of main"}) for i in range(4)]
+    got = pairs(truncation.truncated(news(spark, rows + ends + closed)))
+    assert got == [(i, "content") for i, _ in ends]
+
+
+def test_contexts_of_many_lines_against_a_loop(monkeypatch):
+    rng = random.Random(28)
+    lines = [" ".join(rng.choice(["a", "B.", "of", "office", "offices", "12", "3.5", "(x)", "end.", "?", "''", "가나다", "가나", "“of”"]) for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    monkeypatch.setattr(truncation, "asked_for", lambda bits, keys: np.ones(keys.shape, bool))
+    monkeypatch.setattr(truncation, "TOKENS_AT_ONCE", 200)
+    model = type("M", (), {"value": type("N", (), {"marks": lambda self, host, lines, known: [0] * len(lines)})()})()
+    pdf = pd.DataFrame({"host": "h", "content": ["\n".join(lines[k : k + 5]) for k in range(0, 300, 5)]})
+    got = pd.concat(truncation._count_contexts(model, type("B", (), {"value": None})(), False)(iter([pdf[:30], pdf[30:], pdf[:0]])))
+    want, loose = collections.defaultdict(lambda: [0, 0, 0]), set()
+    for x in lines:
+        sentences = list(truncation._sentences(truncation.tokens(x)))
+        for n, s in enumerate(sentences, 1):
+            for k in range(len(s)):
+                a, b, c = (["^", "^", *s][k + j] for j in range(3))
+                key = lambda c: truncation.context_keys(*np.array([[truncation._token_hash(t)[0]] for t in (a, b, c)], "uint64"))[:, 0].tolist()  # noqa: B023, E731
+                if k == len(s) - 1 and n == len(sentences):
+                    loose |= {(v, pages.key_of(x)) for j, v in enumerate(key(c)) if j != 4 and (j != 2 or truncation._token_hash(c)[1])}
+                    continue
+                for v in key(c):
+                    want[v][0] += 1
+                    want[v][1] += k == len(s) - 1
+                for m in range(1, len(c) if c[0].isalpha() else 0):
+                    for v in key(c[:m])[:2]:
+                        want[v][2] += 1
+    own = got[got["line"] == 0].groupby("key")[["total", "ends", "longer"]].sum()
+    assert dict(zip(own.index.tolist(), own.to_numpy().tolist())) == want
+    assert set(zip(*(got[got["line"] != 0][c].tolist() for c in ("key", "line")))) == loose
+
+
 def test_context_counts_against_a_loop(spark):
     rows = [(i, {"url": f"https://a.example/{i}", "content": "One two three. One two five.\nMany two three."}) for i in range(5)]
     marker = pages.Marker(p := pages.pages_of(news(spark, rows)))
