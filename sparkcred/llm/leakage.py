@@ -154,6 +154,29 @@ class Automaton:
                 size = length[u]
         return out
 
+    def matches_of(self, text: str, k: int, least: int = LEAST_MATCH) -> list[tuple[int, int]]:
+        """(start, end) of the maximal matches of item k: the walk stays in states whose strings occur in it."""
+        nxt, link, length, items, mask = self.next, self.link, self.length, self.items, 1 << k
+        out, s, n = [], 0, 0
+        for i, c in enumerate(text):
+            t = nxt[s].get(c)
+            if t is None or not items[t] & mask:
+                if n >= least:
+                    out.append((i - n, i))
+                while s:
+                    s = link[s]
+                    t = nxt[s].get(c)
+                    if t is not None and items[t] & mask:
+                        break
+                n = length[s]
+                if t is None or not items[t] & mask:
+                    continue
+            s = t
+            n += 1
+        if n >= least:
+            out.append((len(text) - n, len(text)))
+        return out
+
 
 def stretches(text: str, item: str, found: list[tuple[int, int]], share: float = SHARE) -> list[tuple[int, int, float]]:
     """(start, end, share of the item) of the stretches of a document that hold enough of an item.
@@ -203,12 +226,15 @@ class Seeds:
         every = np.concatenate([*grams, np.zeros(0, "uint64")])
         order = np.argsort(every, kind="stable")
         # item and place in it of every sequence, in the order of the sequences
-        self.owner = np.repeat(np.arange(len(texts)), [len(g) for g in grams]).astype("int64")[order]
+        self.owner = np.repeat(np.arange(len(texts)), [len(g) for g in grams]).astype("int32")[order]
         self.place = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, "int64")])[order]
         self.grams, first = np.unique(every[order], return_index=True)
         self.first = np.append(first, len(every)).astype("int64")
+        low = (self.grams & np.uint64(self.TABLE - 1)).astype("int64")
         self.there = np.zeros(self.TABLE, bool)
-        self.there[(self.grams & np.uint64(self.TABLE - 1)).astype("int64")] = True
+        self.there[low] = True
+        self.slot = np.zeros(self.TABLE, "int32")
+        self.slot[low] = np.arange(len(low))
         self.need = np.array([share * EXACT_SHARE * len(t) for t in texts])
 
     def hashes(self, text: str) -> np.ndarray:
@@ -234,22 +260,44 @@ class Seeds:
         size = np.array([len(t) for t in docs], "int64") + 1
         end = np.cumsum(size)
         h = self.hashes("\0".join(docs) + "\0")
-        at = np.flatnonzero(self.there[(h & np.uint64(self.TABLE - 1)).astype("int64")])
-        place = np.searchsorted(self.grams, h[at])
-        place[place == len(self.grams)] = 0
-        ok = self.grams[place] == h[at]
+        low = (h & np.uint64(self.TABLE - 1)).astype("int64")
+        at = np.flatnonzero(self.there[low])
+        own, place = h[at], self.slot[low[at]].astype("int64")
+        # slots that sequences share are looked up
+        other = np.flatnonzero(self.grams[place] != own)
+        place[other] = np.minimum(np.searchsorted(self.grams, own[other]), len(self.grams) - 1)
+        ok = self.grams[place] == own
         at, place = at[ok], place[ok]
         many = self.first[place + 1] - self.first[place]
-        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        source = np.repeat(self.first[place], many) + within
-        pos = np.repeat(at, many)
-        pair = np.searchsorted(end, pos, "right") * self.n + self.owner[source]
+        row = np.repeat(np.arange(len(at), dtype="int32"), many)
+        source = (self.first[place] - (np.cumsum(many) - many)).astype("int32")[row]
+        source += np.arange(len(row), dtype="int32")
+        pair = (np.searchsorted(end, at, "right") * self.n).astype("int32")[row]
+        pair += self.owner[source]
         # a sequence covers at most its length, so pairs with too few are out before anything is sorted
+        need = np.tile(self.need, len(docs)) - 1e-9
         n = np.bincount(pair, minlength=len(docs) * self.n)
-        keep = (n * self.least >= np.tile(self.need, len(docs)))[pair]
-        pair, pos, source = pair[keep], pos[keep], source[keep]
-        order = np.argsort((pair << 32) | pos)  # a batch has fewer than 2**31 characters
-        pair, pos, source = pair[order], pos[order], source[order]
+        some = (n * self.least >= need)[pair]
+        if (chains := self.chains(at, source, row, end, size)) is not None:
+            some &= chains
+        some = np.flatnonzero(some)
+        pair, pos, source = pair[some], at.astype("int32")[row[some]], source[some]
+        # in the order of pairs and positions; a batch has fewer than 2**31 characters
+        low, mid = len(self.owner).bit_length(), len(h).bit_length()
+        if low + mid + (len(docs) * self.n).bit_length() < 64:
+            key = pair.astype("int64")
+            key <<= mid
+            key |= pos
+            key <<= low
+            key |= source
+            key.sort()
+            source = key & ((1 << low) - 1)
+            key >>= low
+            pair, pos = key >> mid, key & ((1 << mid) - 1)
+        else:
+            pair, pos = pair.astype("int64"), pos.astype("int64")
+            order = np.argsort((pair << 32) | pos)
+            pair, pos, source = pair[order], pos[order], source[order]
         if not len(pair):
             return []
         starts, held = self.covered(pair, pos, self.least + WORD_CHARS)
@@ -265,6 +313,38 @@ class Seeds:
         doc, at = pair[starts[good]] // self.n, end - size
         return list(zip(doc.tolist(), (pair[starts[good]] % self.n).tolist(), (pos[starts[good]] - at[doc]).tolist(), (pos[last] + self.least - at[doc]).tolist()))
 
+    def chains(self, at: np.ndarray, source: np.ndarray, row: np.ndarray, end: np.ndarray, size: np.ndarray) -> np.ndarray | None:
+        """Which sequences stand where a run may count, by counts over places as long as a run may pause; None where that is no less work.
+
+        Neighbours in a run stand in the same place or in the next one, so a run lies in a chain of places that
+        all have a sequence of its item. Every place covers no more than its sequences, and its length and a rest.
+        """
+        long = self.least + WORD_CHARS
+        places = size // long + 2  # the last one of a document stays empty
+        total = int(places.sum())
+        if total * self.n > 4 * len(row) or total * self.n * (long + self.least) >= 1 << 31:
+            return None
+        doc = np.searchsorted(end, at, "right")
+        own = (np.cumsum(places) - places)[doc] + (at - (end - size)[doc]) // long
+        cell = own.astype("int32")[row]
+        cell += (np.arange(self.n, dtype="int32") * np.int32(total))[self.owner][source]
+        held = np.minimum(np.bincount(cell, minlength=total * self.n).astype("int32") * self.least, long + self.least - 1)
+        # the items stand one after the other; an empty place ends every chain
+        chain = np.cumsum(held, dtype="int32")
+        chain -= np.maximum.accumulate(np.where(held == 0, chain, 0))
+        enough = np.ceil(self.need - 1e-9).astype("int32")
+        good, reached = np.zeros(len(held), bool), -1
+        for p in np.flatnonzero(chain.reshape(self.n, total) >= np.maximum(enough, 1)[:, None]).tolist():
+            if p <= reached:
+                continue
+            first = reached = p
+            while first and held[first - 1]:
+                first -= 1
+            while held[reached + 1]:
+                reached += 1
+            good[first : reached + 1] = True
+        return good[cell]
+
     def covered(self, group: np.ndarray, pos: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """(first row, characters covered) of each run of sorted positions no further than ``most`` apart."""
         if not len(group):
@@ -297,7 +377,7 @@ def _read_block(ids: list[int], texts: list[str], share: float):
     def leaks_of(raw: str, text: str, runs: list[tuple[int, int, int]], auto: Automaton):
         places = None
         for k, first, last in runs:
-            found = [(a, b) for a, b, _ in auto.item_matches(text[first:last], mask=1 << k)]
+            found = auto.matches_of(text[first:last], k)
             for a, b, held in stretches(text[first:last], texts[k], found, share):
                 places = places or raw_positions(raw, text)
                 yield ids[k], places(first + a), places(first + b - 1) + 1, held

@@ -478,6 +478,41 @@ def test_item_matches_against_brute_force():
         assert got == want
 
 
+def test_matches_of_one_item_are_those_of_all_items_read_alone():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(5, 60))) for _ in range(7)]
+    auto = leakage.Automaton(texts)
+    for _ in range(60):
+        doc = "".join(rng.choice("abcd" if rng.random() < 0.2 else "abc") for _ in range(120))
+        for k in range(7):
+            assert auto.matches_of(doc, k, 4) == [(a, b) for a, b, items in auto.item_matches(doc, 4) if items >> k & 1]
+
+
+@pytest.mark.parametrize("table", [1 << 22, 1 << 6])
+def test_runs_that_may_count_against_sorted_positions(monkeypatch, table):
+    monkeypatch.setattr(leakage.Seeds, "TABLE", table)
+    rng = random.Random(7)
+    phrases = ["".join(rng.choice(WORDS) for _ in range(3)) for _ in range(12)]
+    texts = ["".join(rng.choice(phrases) + rng.choice("qwxyz") for _ in range(rng.randint(3, 9))) for _ in range(15)]
+    docs = ["".join(rng.choice(phrases) if rng.random() < 0.6 else rng.choice(texts)[: rng.randint(5, 90)] + "j" * rng.randint(0, 40) for _ in range(rng.randint(0, 12))) for _ in range(40)]
+    seeds, want = leakage.Seeds(texts), []
+    chained = []
+    chains = leakage.Seeds.chains
+    monkeypatch.setattr(leakage.Seeds, "chains", lambda self, *a: chained.append(chains(self, *a)) or chained[-1])
+    for d, doc in enumerate(docs):
+        for k, t in enumerate(texts):
+            places = collections.defaultdict(list)
+            for p in range(len(t) - 7):
+                places[t[p : p + 8]].append(p)
+            hits = [p for p in range(len(doc) - 7) if doc[p : p + 8] in places]
+            for run in np.split(hits, np.flatnonzero(np.diff(hits) > 32) + 1) if hits else []:
+                held = len({q for p in run.tolist() for q in range(p, p + 8)})
+                own = len({q for p in run.tolist() for x in places[doc[p : p + 8]] for q in range(x, x + 8)})
+                if min(held, own) >= seeds.need[k] - 1e-9:
+                    want.append((d, k, int(run[0]), int(run[-1]) + 8))
+    assert len(want) > 20 and sorted(seeds.candidates(docs)) == want and any(x is not None and not x.all() for x in chained)
+
+
 def test_items_that_share_text(spark):
     rng = random.Random(22)
     shared, one, two = (body(rng, n).replace("\n", " ") for n in (6, 2, 2))
